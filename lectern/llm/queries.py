@@ -22,6 +22,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), finish=op.digest, schema=op.DIGEST)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import op2_warc as op
+    from lectern.llm.common import Workspace
+
+    return op.read_archives(op.write_archives(Workspace(spark, "op2"), table(spark, sf_dir, "pages")))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import op3_tokens as op
     from lectern.llm.common import Workspace
@@ -30,16 +37,42 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.read_digests(op.write_ids(ws, table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2))
 
 
+#: Verdict, host and path prefix of the URL rules.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import op6_urls as op
+
+    return op.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import op8_ann as op
+
+    return op.search(table(spark, sf_dir, "embeddings"))
+
+
+def op9_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import op9_itq as op
+
+    return op.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import op10_packing as op
 
     return op.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, finish=op.crc, schema=pa.schema([("ids_crc32", pa.int64())]))
 
 
-QUERIES = {
-    "op1_bpe": op1_bpe,
-    "op3_token_files": op3_token_files,
-    "op10_packing": op10_packing,
-}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_token_files, op6_urls, op8_ann, op9_itq, op10_packing)}
+
+
+def _sql() -> dict[str, str]:
+    from lectern.llm import op2_warc as two
+    from lectern.llm import op9_itq as nine
+
+    return {"op2_warc": two.SQL, "op9_itq": nine.SQL}
+
 
-SQL: dict[str, str] = {}
+SQL = _sql()
