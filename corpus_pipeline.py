@@ -1,17 +1,65 @@
-"""Corpus pipeline over ``documents``."""
+"""Corpus pipeline over ``documents``: language ID, near-duplicate removal, substring removal, packing.
+
+Each stage takes ``(spark, docs, sf_dir)``; ``run`` writes a stage's result as Parquet in the shared folder and reads it back
+as the next stage's documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lectern.llm import op4_minhash, op5_language, op7_spans, op10_packing
+from lectern.llm.common import Workspace
+from lectern.llm.queries import tokenizer_path
+
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without letters or with an undecided language go."""
+    told = op5_language.identify(docs, pred="__pred", score="__score")
+    return told.where((F.col("__pred") != op5_language.NONE) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate component (five-word shingles, similarity 0.8)."""
+    gone = op4_minhash.near_duplicates(docs, size=5, percent=80).where("not kept and doc_id is not null").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))  # rows that repeat an id
+    return left.where("doc_id is not null").withColumn("__again", again).where("__again = 1").select(*docs.columns).unionByName(left.where("doc_id is null").select(*docs.columns))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the sentence runs that an earlier document has; those that consist of such runs alone go."""
+    out = op7_spans.remove_repeats(docs, removed="__removed").where((F.col("__removed") == 0) | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
+    return op10_packing.pack_documents(docs, tokenizer_path(), end_id=0, finish=op10_packing.crc, schema=pa.schema([("ids_crc32", pa.int64())]))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("minhash_near_dedup", near_duplicates),
+    ("substring_dedup", substrings),
+    ("packing", packing),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Tokens and minhashes have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    ws = Workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = ws.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
