@@ -2,7 +2,7 @@
 
 Every run of several consecutive sentences is hashed to 128 bits: from each sentence of at least ``ANCHOR`` words (and
 every fourth shorter one, by a hash of its first word) the shortest run of two sentences or more with at least ``RUN``
-words, or of any number with ``LONG`` words.  Runs
+words, or of any number with ``LONG`` words; and the shortest such run that ends the text.  Runs
 are joined over the whole corpus, and all sentences covered by a run that occurred before (in the order of document
 id, then place) are removed.  The first occurrence stays.  Case and blanks don't tell runs apart.
 
@@ -71,6 +71,13 @@ def runs(text: str | None) -> list[tuple[int, int, int]]:
         if held >= LONG or (held >= RUN and j - i >= 2):
             joined = " ".join([" ".join(w) for w in words[i:j]])
             out.append((xxhash.xxh3_128_intdigest(joined.encode("utf-8", "replace")), starts[i], starts[j]))
+    i, held = len(sizes), 0
+    while i and not (held >= LONG or (held >= RUN and len(sizes) - i >= 2)):
+        i -= 1
+        held += sizes[i]
+    if (held >= LONG or (held >= RUN and len(sizes) - i >= 2)) and (not out or out[-1][1:] != (starts[i], starts[-1])):
+        joined = " ".join([" ".join(w) for w in words[i:]])
+        out.append((xxhash.xxh3_128_intdigest(joined.encode("utf-8", "replace")), starts[i], starts[-1]))
     return out
 
 
