@@ -22,10 +22,10 @@ from functools import lru_cache
 import numpy as np
 
 BLANKS = " \n\t\r"
-PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r.,!?]+(?=[ \n\t\r]|\Z|(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])[.,!?])|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+PIECES = re.compile(r"[ \n\t\r]*+[^ \n\t\r.,!?]++(?:(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])|(?![.,!?]))|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Blanks other than the four above: Python's and the tokeniser's notions differ on some, so such texts are not cut.
 ODD = re.compile(r"[^\S \n\t\r]")
-CACHE_PIECES = 160_000
+CACHE_PIECES = 500_000
 CACHED_CHARS = 48
 #: Pieces of more characters are encoded by tree concatenation, with leaves of LEAF bytes.
 LONG = 4096
@@ -76,7 +76,13 @@ class Codec:
                 flat += PIECES.findall(t)
             ends.append(len(flat))
         found = list(map(self.cache.get, flat))
-        gaps = [k for k, v in enumerate(found) if v is None]
+        gaps, k = [], -1
+        try:
+            while True:
+                k = found.index(None, k + 1)
+                gaps.append(k)
+        except ValueError:  # no further gap
+            pass
         if gaps:
             new = self._learn({flat[k] for k in gaps})
             for k in gaps:
@@ -95,7 +101,10 @@ class Codec:
         old = self.old.get
         new = {p: v for p in missing if (v := old(p)) is not None}
         self._encode_pieces(missing - new.keys(), new)
-        self.cache.update((p, v) for p, v in new.items() if len(p) <= CACHED_CHARS)
+        self.cache.update(new)
+        for p in new:
+            if len(p) > CACHED_CHARS:
+                del self.cache[p]
         if len(self.cache) > CACHE_PIECES:
             self.old, self.cache = self.cache, {}
         return new
@@ -109,20 +118,23 @@ class Codec:
             elif p[0] in BLANKS and p[-1].isalnum():
                 run.append(p)
                 size += len(p)
-                if size > 1 << 17:
+                if size > 1 << 11:
                     joined.append(run)
                     run, size = [], 0
             else:
                 single.append(p)
-        for run in [*joined, run]:
-            if run:
-                ids = np.array(self.tok.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in run])
-                at = np.searchsorted(np.cumsum(self.lens[ids]), ends) + 1
-                raw, lo = ids.tobytes(), 0
-                for p, hi in zip(run, (4 * at).tolist(), strict=True):
-                    new[p] = raw[lo:hi]
-                    lo = hi
+        if run:
+            joined.append(run)
+        if joined:
+            got = self.tok.encode_batch_fast(["".join(run) for run in joined], add_special_tokens=False)
+            ids = np.array([i for e in got for i in e.ids], "<u4")
+            flat = [p for run in joined for p in run]
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in flat])
+            at = np.searchsorted(np.cumsum(self.lens[ids]), ends) + 1
+            raw, lo = ids.tobytes(), 0
+            for p, hi in zip(flat, (4 * at).tolist(), strict=True):
+                new[p] = raw[lo:hi]
+                lo = hi
         if single:
             for p, e in zip(single, self.tok.encode_batch_fast(single, add_special_tokens=False), strict=True):
                 new[p] = np.array(e.ids, "<u4").tobytes()
