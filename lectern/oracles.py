@@ -342,7 +342,7 @@ SQL["metadata_failures"] = "SELECT source AS document_pair, doc_id::VARCHAR AS i
 SQL["golden_diff"] = """WITH b AS (SELECT source AS p, doc_id::VARCHAR AS id, doc_id AS n, lang::VARCHAR AS c, n_chars::VARCHAR AS f FROM documents), k AS (SELECT p, id, n, c, CASE WHEN n % 7 = 0 THEN 'xx' ELSE c END AS c2, f, CASE WHEN n % 5 = 0 THEN NULL ELSE f END AS f2 FROM b WHERE n % 11 <> 3)
 SELECT p AS document_pair, id, 'classification' AS field, c AS before, c2 AS after, CASE WHEN n % 35 = 0 THEN 'allowed' ELSE 'unexpected' END AS kind FROM k WHERE c IS DISTINCT FROM c2
 UNION ALL SELECT p, id, 'confidence', f, f2, 'unexpected' FROM k WHERE f IS DISTINCT FROM f2 UNION ALL SELECT p, id, NULL, NULL, NULL, 'missing' FROM b WHERE n % 11 = 3 UNION ALL SELECT p, 'new' || id, NULL, NULL, NULL, 'extra' FROM b WHERE n % 13 = 0"""
-SQL["export_duplicates"] = "SELECT source AS document_pair, (doc_id % 97)::VARCHAR AS id, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1"
+SQL["export_duplicates"] = "SELECT source AS document_pair, (doc_id % 17)::VARCHAR AS id, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1"
 SQL["export_leaks"] = f"WITH {EXPORT} SELECT source AS document_pair, doc_id::VARCHAR AS id, 'the government' AS pattern FROM ex WHERE regexp_matches(ltrim(t), '(?i)^the government') UNION ALL SELECT source, doc_id::VARCHAR, '\\bnoted\\b' FROM ex WHERE regexp_matches(ltrim(t), '(?i)\\bnoted\\b')"
 SQL["expectation_failures"] = f"WITH {EXPORT} SELECT source AS document_pair, doc_id::VARCHAR AS id, 'accepted' AS expected, classification FROM ex WHERE doc_id % 9 = 0 AND classification <> 'accepted'"
 PRED = f"{EXPORT}, pr AS (SELECT source AS pair_id, doc_id, doc_id::VARCHAR AS id, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE classification END AS label, confidence, factors, method, sim AS score, t, doc_id % 6 = 0 AS shared FROM ex)"

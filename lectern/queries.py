@@ -494,7 +494,7 @@ def golden_diff(spark, sf_dir):
 
 @query
 def export_duplicates(spark, sf_dir):
-    r = export_rows(spark, sf_dir).withColumn("id", (F.col("id").cast("long") % 97).cast("string"))
+    r = export_rows(spark, sf_dir).withColumn("id", (F.col("id").cast("long") % 17).cast("string"))
     return validate.duplicates(r)
 
 

@@ -10,7 +10,7 @@ from lectern.operators import align, chunks, classify, evaluate, extract, pages,
 @pytest.mark.parametrize(
     ("text", "label"),
     [
-        ("We accept this.", "accepted"), ("The board accepts the plan in principle.", "partially_accepted"), ("We agree in part.", "partially_accepted"), ("The council rejects this.", "rejected"),
+        ("We accept this.", "accepted"), ("The board accepts in principle that plans change.", "partially_accepted"), ("The board accepts the plan.", "accepted"), ("We agree in part.", "partially_accepted"), ("The council rejects this.", "rejected"),
         ("The office does not agree but will review the case.", "partially_accepted"), ("We will publish a plan.", "accepted"), ("No decisions have been taken, though we will publish a plan.", "partially_accepted"),
         ("This recommendation is not for the UK government to respond to.", "not_addressed"), ("The weather was fine.", "not_addressed"), ("", "not_addressed"), ("The point is noted and accepted.", "accepted"), ("The point is noted.", "partially_accepted"),
     ],
@@ -42,8 +42,8 @@ def test_units_grouped_and_repeated():
         "Recommendation 8.3 We urge ministers again to act on this matter in the coming year without delay. The Government will do so. Chapter 4 Other things"
     )
     got = units.segment(text)
-    assert [u["recommendation_label"] for u in got] == ["8.1", "8.2", "8.3"]
-    assert got[1]["recommendation_labels"] == ["8.2", "8.3", "8.4"]
+    assert [u["recommendation_label"] for u in got] == ["8.1", "8.3", "8.4"]  # a bare 8.2 is a citation; the second 8.3 stands for 8.4
+    assert got[1]["recommendation_labels"] == ["8.3", "8.4"] and got[2]["boundary_reason"] == "sequence_correction"
     assert got[0]["response_text"].startswith("The Government agrees")
     assert "Chapter" not in got[2]["response_text"]
 
