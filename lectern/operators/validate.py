@@ -48,7 +48,7 @@ def leaks(rows: DataFrame, patterns: DataFrame, text: str = "matched_response_te
     """Rows whose text holds a pattern of the table ``(pattern, at_start)``; a small table of rules."""
     t = F.ltrim(text)
     found = F.regexp_like(t, F.concat(F.lit("(?i)"), F.when(F.col("at_start"), "^").otherwise(""), F.col("pattern")))
-    return rows.crossJoin(F.broadcast(patterns)).where(found).select(*KEY, "pattern")
+    return rows.join(patterns, found).select(*KEY, "pattern")
 
 
 def metadata_failures(rows: DataFrame) -> DataFrame:
