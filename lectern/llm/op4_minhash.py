@@ -6,10 +6,12 @@ half-key of the first and one of the second is the key of a table.  So ``HALVES*
 ``(1 - (1 - J**ROWS)**HALVES)**2``: 0.9985 at 0.8, 0.99999 at 0.9.  Every link is confirmed on the full shingle sets.
 
 Documents with equal sets are one class.  In a bucket, members are ranked by how many other members their buckets hold in
-all (the middle of a group of copies comes first).  First each member is compared with its bucket's first; then, in
-buckets whose members are not yet in one component, with the next ``STEP`` of other components, and so on until no pair
-across components is left in any bucket.  So no link is given up, yet a group of copies costs about one
-comparison per copy, and no task holds a group.
+all, so that the middle of a group of copies comes first; a bucket's first member leads it.  All members of the buckets with
+one leader are a family, which holds every candidate pair of those buckets.  A family is dealt out in chunks of about ``CHUNK``
+members, each with the leader, and a task compares all pairs of a chunk at once: with R the leader's set and E_x the symmetric difference of
+x and R, ``|x ^ y| = |E_x| + |E_y| - 2 |E_x & E_y|``, and the last term is a product of small 0/1 matrices.  In families of several chunks,
+members that are not in their leader's component are then compared with all other members, again in chunks.  So no link between
+candidates is given up, no pair becomes a row, and no task holds a group.
 
 Cases: null or blank texts have an empty set and link with nothing; texts of fewer words than a shingle are one shingle; repeated
 rows of an id are one document and each gets a row; a null id links with nothing and has a null component;
@@ -26,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Workspace, components, slices
+from lectern.llm.common import Workspace, components, n_parts, slices
+from lectern.llm.op9_itq import smallest
 
-HALVES, ROWS, STEP = 10, 3, 64
+HALVES, ROWS, CHUNK = 10, 3, 1024
 WORDS_KEPT = 300_000
 GOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -92,9 +95,78 @@ def table_keys(halves: np.ndarray) -> np.ndarray:
     return mixed(left[:, :, None] * GOLD + mixed(right)[:, None, :]).reshape(len(halves), -1)
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+def linked_pairs(sets: list[np.ndarray], percent: int, split: int | None = None) -> np.ndarray:
+    """Boolean matrix of the pairs whose Jaccard similarity is at least ``percent`` per cent, exactly.
+
+    With ``split``, only rows before it against rows from it on.
+    """
+    n, ref = len(sets), sets[0]
+    edits = [np.setxor1d(s, ref, assume_unique=True) for s in sets]
+    sizes, counts = np.array([len(s) for s in sets], "i8"), np.array([len(e) for e in edits], "i8")
+    values, column, times = np.unique(np.concatenate(edits), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), counts)
+    shared = times[column] > 1  # an edit of one row alone meets no other
+    order = np.argsort(column[shared], kind="stable")
+    row, column = row[shared][order], np.unique(column[shared], return_inverse=True)[1][order]
+    both = np.zeros((n, n) if split is None else (split, n - split), "f4")
+    width = max(256, (1 << 22) // n)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, [lo, lo + width])
+        x = np.zeros((n, width), "f4")
+        x[row[i:j], column[i:j] - lo] = 1
+        both += x @ x.T if split is None else x[:split] @ x[split:].T
+    left, right = (slice(None), slice(None)) if split is None else (slice(0, split), slice(split, None))
+    apart = counts[left][:, None] + counts[right][None, :] - 2 * both.astype("i8")
+    total = sizes[left][:, None] + sizes[right][None, :]
+    # J = (total - apart) / (total + apart)
+    return (100 - percent) * total >= (100 + percent) * apart
+
+
+def cell_edges(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of one chunk."""
+    if len(ids) < 2:
+        return []
+    linked = linked_pairs(sets, percent)
+    np.fill_diagonal(linked, False)
+    low = smallest(linked, ids)
+    return [(int(a), int(b)) for a, b in zip(ids, low, strict=True) if a != b]
+
+
+def cross_edges(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """For rows of side 0 their links with rows of side 1, one edge per component that they reach."""
+    order = np.argsort(side, kind="stable")
+    split = int((side == 0).sum())
+    if not 0 < split < len(ids):
+        return []
+    ids, linked = ids[order], linked_pairs([sets[k] for k in order], percent, split)
+    adjacent = np.zeros((len(ids), len(ids)), bool)
+    adjacent[:split, split:] = linked
+    adjacent |= adjacent.T
+    low = smallest(adjacent, ids)
+    return [(int(a), int(b)) for a, b in zip(ids, low, strict=True) if a != b]
+
+
+def grouped(batches, keys: int):
+    """Runs of rows with equal first ``keys`` columns, from batches sorted by them; a run is bounded by its chunk."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.nonzero(change)[0] + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -115,7 +187,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(halves, pa.binary())], names=["doc_id", "n", "fp", "halves"])
 
     signed = ws.save(docs.mapInArrow(signature, "doc_id long, n long, fp binary, halves binary"), "signed")
-    classes = ws.save(signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves")), "classes")
+    classes = ws.save(signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("halves").alias("halves")), "classes")
 
     def keyed(batches):
         for batch in batches:
@@ -130,71 +202,57 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     once = ws.save(prints.groupBy("c", "x", "s").agg(F.min("key").alias("key")).select("key", "c"), "once")
     bucketed = ws.save(met.join(once, "key"), "bucketed")
     score = bucketed.groupBy("id").agg(F.sum("c").alias("score"))
-    sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
-    weighed = ws.save(score.join(sizes, "id"), "weighed")
+    weighed = ws.save(score, "weighed")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))
-    ranked = ws.save(bucketed.select("key", "id").distinct().join(weighed, "id").withColumn("rank", rank).select("key", "id", "n", "rank"), "ranked")
+    ranked = ws.save(bucketed.select("key", "id").distinct().join(weighed, "id").withColumn("rank", rank).select("key", "id", "rank"), "ranked")
     ws.drop("met", "once", "bucketed")
     texts = ws.save(docs.join(weighed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "texts")
 
-    def confirm(batches):
-        held: dict[int, np.ndarray] = {}
-
-        def of(i: int, t: str) -> np.ndarray:
-            s = held.get(i)
-            if s is None:
-                if len(held) >= 64:
-                    held.clear()
-                s = held[i] = shingles(t, size)
-            return s
-
-        for batch in batches:
-            for part in slices(batch, 128):
-                a, b, ta, tb = (c.to_pylist() for c in part.columns)
-                good = [similar(shingles(x, size), of(j, y), percent) for x, j, y in zip(ta, b, tb, strict=True)]
-                yield pa.record_batch([pa.array([v for v, g in zip(c, good, strict=True) if g], pa.int64()) for c in (a, b)], names=["a", "b"])
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        return ws.save(both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long"), name)
-
-    def near_in_size(x: str, y: str):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    first = ranked.where("rank = 1").select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-    tested = ws.save(ranked.where("rank > 1").join(first, "key").where(near_in_size("n", "nb") & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b").distinct(), "tested-0")
-    roots = components(ws, verified(tested, "links-0"), "cc-0")
-    done = 0
-    for k in range(1, 1 << 20):
-        members = ranked.join(roots, "id", "left").select("key", "id", "n", "rank", F.coalesce("root", "id").alias("root"))
-        members = ws.save(members, f"members-{k}")
-        open_keys = ws.save(members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rank").alias("size")).where(f"lo <> hi and size > {done + 1}").select("key", "size"), f"open-{k}")
-        largest = open_keys.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        members = members.join(open_keys.select("key"), "key")
-        leads = members.where(f"rank > {done} and rank <= {done + STEP}").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("root").alias("root_b"))
-        across = members.join(leads, "key").where((F.col("rank") > F.col("rb")) & (F.col("root") != F.col("root_b")) & near_in_size("n", "nb"))
-        pairs = across.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        before = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = ws.save(pairs.join(before, ["a", "b"], "left_anti"), f"tested-{k}")
-        tested = tested.unionByName(pairs)
-        links = verified(pairs, f"links-{k}")
-        if links.head(1):
-            of_a = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
-            of_b = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-            merged = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-            tops = components(ws, merged, f"cc-{k}")
-            # roots that merge, and documents that had no link before
-            moved = roots.join(tops.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-            fresh = tops.join(roots, "id", "left_anti").select("id", "root")
-            roots = ws.save(moved.unionByName(fresh), f"roots-{k}")
-        done += STEP
-        if largest <= done:
-            break
-    grouped = ws.save(classes.select("fp", "id").join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("root")), "grouped")
-    linked = signed.where("fp is not null and doc_id is not null").select("doc_id", "n", "fp").join(grouped, "fp").select("doc_id", "n", "root")
+    def cells(batches, keys: int, work):
+        for table in grouped(batches, keys):
+            sets = [shingles(t, size) for t in table["text"].to_pylist()]
+            edges = work(table, table["id"].to_numpy(), sets)
+            if edges:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
+
+    def within(batches):
+        yield from cells(batches, 2, lambda table, ids, sets: cell_edges(ids, sets, percent))
+
+    def across(batches):
+        yield from cells(batches, 3, lambda table, ids, sets: cross_edges(ids, sets, table["side"].to_numpy(), percent))
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        return rows.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+
+    parts = n_parts(df.sparkSession)
+    lead = ranked.where("rank = 1").select("key", F.col("id").alias("lead"))
+    family = ranked.select("key", "id").join(lead, "key").select("lead", "id").distinct()
+    family = ws.save(family, "family")
+    counts = ws.save(family.groupBy("lead").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "counts")
+    placed = family.join(counts, "lead")
+    own = F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "chunks").cast("int")))
+    chunked = with_text(placed.select("lead", F.explode(own).alias("chunk"), "id")).select("lead", "chunk", "id", "text")
+    edges = chunked.repartition(parts, "lead", "chunk").sortWithinPartitions("lead", "chunk").mapInArrow(within, "a long, b long")
+    edges = ws.save(edges, "edges")
+    roots = components(ws, edges, "cc-0")
+    # families of several chunks: members outside their leader's component against all others
+    wide = placed.where("chunks > 1").join(roots, "id", "left").select("lead", "id", "chunks", F.coalesce("root", "id").alias("root"))
+    wide = ws.save(wide, "wide")
+    heads = wide.where("id = lead").select("lead", F.col("root").alias("head"))
+    loose = ws.save(wide.join(heads, "lead").where("root <> head").select("lead", "id"), "loose")
+    if loose.head(1):
+        blocks = loose.groupBy("lead").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
+        blocks = ws.save(blocks.join(counts, "lead"), "blocks")
+        at = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+        left = loose.join(blocks, "lead").select("lead", at.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(0).alias("side"), "id")
+        right = wide.select("lead", "id").join(blocks, "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("j"), F.lit(1).alias("side"), "id")
+        crossed = with_text(left.unionByName(right)).select("lead", "i", "j", "side", "id", "text")
+        more = crossed.repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "side").mapInArrow(across, "a long, b long")
+        more = ws.save(more, "more")
+        if more.head(1):
+            roots = components(ws, edges.unionByName(more), "cc-1")
+    rooted = ws.save(classes.select("fp", "id").join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("root")), "rooted")
+    linked = signed.where("fp is not null and doc_id is not null").select("doc_id", "n", "fp").join(rooted, "fp").select("doc_id", "n", "root")
     alone = signed.where("fp is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("root"))
     both = linked.unionByName(alone)
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("root"), F.lit(False)).alias("kept"))
