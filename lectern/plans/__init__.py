@@ -1 +1 @@
-"""plans of the engine."""
+"""Whole analyses composed of operators."""
