@@ -1,17 +1,17 @@
 """Operator 7: substring dedup by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed to 128 bits: from each sentence of at least ``ANCHOR`` words (and
-every fourth shorter one, by a hash of its first word) the shortest run of two sentences or more with at least ``RUN``
-words, or of any number with ``LONG`` words; and the shortest such run that ends the text.  Runs
+Runs of consecutive sentences are hashed to 128 bits: from each sentence, however short, the shortest run of two sentences
+or more with at least ``RUN`` words, or of any number with ``LONG`` words; and the shortest such run that ends the text.  Runs
 are joined over the whole corpus, and all sentences covered by a run that occurred before (in the order of document
 id, then place) are removed.  The first occurrence stays.  Case and blanks don't tell runs apart.
 
 A sentence ends after ``. ! ? ,`` and a blank, at a line break, and before a capitalised word, so that a passage pasted
 into the middle of a sentence, or cut off in one, still has whole ones.
 
-The first place of each hash is pre-aggregated on the map side, and only hashes that repeat are kept, as a table in the shared
-folder.  The join with it is a shuffle join that AQE splits where a passage is hot.  What meets per document is that
-document's own spans.
+The count of each hash is pre-aggregated on the map side without places, and only hashes that repeat are kept, as a table in
+the shared folder.  The texts are hashed again for the join with it, a shuffle join that AQE splits where a passage is hot;
+the places that it leaves are few, and their least is aggregated for each hash.  What meets per document is that document's
+own spans.
 
 Cases: null and blank texts have no sentences and stay as they are; texts shorter than a run stay; a document that repeats an
 earlier one loses all its runs; rows that repeat id and text are one document and are treated alike; null ids come first; rows with one
@@ -21,7 +21,7 @@ id and several texts are told apart by their text; other columns pass through; a
 from __future__ import annotations
 
 import re
-import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from lectern.llm.common import Workspace, slices
 
-ANCHOR, RUN, LONG = 4, 16, 32
+RUN, LONG = 16, 32
 UPPER = "A-ZÀ-ÖØ-Þ"
 LOWER = "a-zß-öø-ÿ"
 #: Where a sentence ends: the blanks after a mark, around a line break, or before a capitalised word.
@@ -54,31 +54,34 @@ def sentences(text: str) -> tuple[list[int], list[list[str]]]:
     return [*starts, len(text)], words
 
 
+def shortest(sizes: list[int]) -> list[int]:
+    """For each sentence, as long as there is one, the end of the shortest run that starts there."""
+    ends, j, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        while not (held >= LONG or (held >= RUN and j - i >= 2)):
+            if j == len(sizes):
+                return ends
+            held += sizes[j]
+            j += 1
+        ends.append(j)
+        held -= n
+    return ends
+
+
 def runs(text: str | None) -> list[tuple[int, int, int]]:
     """``(128-bit hash, start, end)`` of each run; the end is where the next sentence starts."""
     if not text:
         return []
     starts, words = sentences(text)
-    sizes = [len(w) for w in words]
-    out = []
-    for i, n in enumerate(sizes):
-        if n < ANCHOR and zlib.crc32(words[i][0].encode("utf-8", "replace")) % 4:
-            continue
-        j, held = i, 0
-        while j < len(sizes) and not (held >= LONG or (held >= RUN and j - i >= 2)):
-            held += sizes[j]
-            j += 1
-        if held >= LONG or (held >= RUN and j - i >= 2):
-            joined = " ".join([" ".join(w) for w in words[i:j]])
-            out.append((xxhash.xxh3_128_intdigest(joined.encode("utf-8", "replace")), starts[i], starts[j]))
-    i, held = len(sizes), 0
-    while i and not (held >= LONG or (held >= RUN and len(sizes) - i >= 2)):
-        i -= 1
-        held += sizes[i]
-    if (held >= LONG or (held >= RUN and len(sizes) - i >= 2)) and (not out or out[-1][1:] != (starts[i], starts[-1])):
-        joined = " ".join([" ".join(w) for w in words[i:]])
-        out.append((xxhash.xxh3_128_intdigest(joined.encode("utf-8", "replace")), starts[i], starts[-1]))
-    return out
+    ends = shortest([len(w) for w in words])
+    if not ends:
+        return []
+    parts = [" ".join(w).encode("utf-8", "replace") for w in words]
+    whole, at = b" ".join(parts), [0, *accumulate(len(p) + 1 for p in parts)]
+    spans = list(enumerate(ends))
+    if ends[-1] < len(words):
+        spans.append((len(ends) - 1, len(words)))
+    return [(xxhash.xxh3_128_intdigest(whole[at[i] : at[j] - 1]), starts[i], starts[j]) for i, j in spans]
 
 
 def without(text: str, spans: list[int]) -> tuple[str, int]:
@@ -101,27 +104,34 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", remov
     ws = Workspace(df.sparkSession, "op7")
     uid = F.xxhash64(F.col(key), F.col(text))
 
-    def hashed(batches):
-        for batch in batches:
-            for part in slices(batch):
-                h1, h2, rows, spans = [], [], [], []
-                for k, t in enumerate(part.column(2).to_pylist()):
-                    for h, lo, hi in runs(t):
-                        h1.append(h >> 64)
-                        h2.append(h & 0xFFFFFFFFFFFFFFFF)
-                        rows.append(k)
-                        spans.append(lo << 32 | hi)
-                if rows:
-                    at = pa.array(rows, pa.int32())
-                    yield pa.record_batch([pa.array(np.array(h1, "u8").view("i8")), pa.array(np.array(h2, "u8").view("i8")), part.column(0).take(at), part.column(1).take(at), pa.array(spans, pa.int64())], names=["h1", "h2", "doc", "uid", "span"])
-
-    found = df.select(F.col(key).alias("doc"), uid.alias("uid"), F.col(text).alias("text")).where("text is not null")
-    doc_type = dict(df.dtypes)[key]
-    found = found.mapInArrow(hashed, f"h1 long, h2 long, doc {doc_type}, uid long, span long")
+    def hashed(places: bool):
+        def run(batches):
+            for batch in batches:
+                for part in slices(batch):
+                    h1, h2, rows, spans = [], [], [], []
+                    for k, t in enumerate(part.column(0).to_pylist()):
+                        for h, lo, hi in runs(t):
+                            h1.append(h >> 64)
+                            h2.append(h & 0xFFFFFFFFFFFFFFFF)
+                            rows.append(k)
+                            spans.append(lo << 32 | hi)
+                    if rows:
+                        cols = {"h1": pa.array(np.array(h1, "u8").view("i8")), "h2": pa.array(np.array(h2, "u8").view("i8"))}
+                        if places:
+                            at = pa.array(rows, pa.int32())
+                            cols |= {"doc": part.column(1).take(at), "uid": part.column(2).take(at), "span": pa.array(spans, pa.int64())}
+                        yield pa.record_batch(list(cols.values()), names=list(cols))
+
+        return run
+
+    texts = df.select(F.col(text).alias("text"), F.col(key).alias("doc"), uid.alias("uid")).where("text is not null")
+    hashes = texts.select("text").mapInArrow(hashed(False), "h1 long, h2 long")
+    again = ws.save(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeats")
+    found = texts.mapInArrow(hashed(True), f"h1 long, h2 long, doc {dict(df.dtypes)[key]}, uid long, span long")
+    hits = ws.save(found.join(again, ["h1", "h2"]), "hits")
     place = F.struct("doc", "uid", "span")
-    again = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    again = ws.save(again, "repeats")
-    later = found.join(again, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("uid", "span")
+    first = ws.save(hits.groupBy("h1", "h2").agg(F.min(place).alias("first")), "first")  # a table, so that AQE can split the join
+    later = hits.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("uid", "span")
     gone = later.groupBy("uid").agg(F.collect_list("span").alias(SPANS)).withColumnRenamed("uid", UID)
     whole = df.withColumn(UID, uid).join(gone, UID, "left").drop(UID)
     names = df.columns

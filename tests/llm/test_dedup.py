@@ -94,6 +94,16 @@ def test_spans_against_brute_force(spark):
     assert next(r for r in got if r.doc_id == 2).removed_chars == 0
 
 
+@pytest.mark.parametrize("line", ["* x{} y{}", "Smith x{}", "the x{},", "| {}", "1. a{}", "le {} de,"])
+def test_spans_of_short_lines(spark, line):
+    passage = "\n".join(line.format(k, k + 1) for k in range(60))
+    rows = [(k, f"Words of document {k} stand here\n{passage}\nother words end document {k}") for k in range(3)]
+    got = {r.doc_id: r.text for r in op7_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for k in (1, 2):
+        assert got[k].split() == f"Words of document {k} stand here other words end document {k}".split()
+
+
 def vectors(n=700, dim=24):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((n, dim))
