@@ -2,8 +2,12 @@
 
 A rotation that balances binary codes is learned (Gong and Lazebnik, 2011) on a bounded sample; a vector's code is the
 signs of its centred, rotated unit vector.  The code is cut into substrings of ``SUBSTRING`` bits, each of which keys a
-table; vectors that share a substring are candidates, and the exact cosine of the original vectors decides.  Codes
-that differ in fewer bits than there are tables always meet.
+table; vectors that share a substring are candidates, and the exact cosine of the original vectors decides.
+
+One rotation gives few tables, and a pair of the least cosine may share none of them, the more so in few dimensions or
+where all vectors share a direction.  So rotations from other starts are added until, of sampled vectors turned towards
+other ones to exactly that cosine, ``RECALL`` share a substring with their origin.  Where that takes more
+copies of a vector than comparing all blocks of vectors with each other, all pairs are compared instead.
 
 Equal vectors are one weighted class.  A table bucket of over ``BLOCK`` classes is cut into blocks and handled as
 pairs of blocks, each a task's work of its own.  A cell returns one row per linked class: the weight of
@@ -27,32 +31,63 @@ from lectern.llm import vectors
 from lectern.llm.common import Workspace, components
 
 SUBSTRING, MAX_BITS, BLOCK, SAMPLE, ROUNDS = 8, 64, 1_024, 4_000, 30
+RECALL, MOST = 0.995, 128  # MOST tables compare as many pairs as there are
 CLASS = "fp binary, vec_id long, vec array<double>"
 LINK = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
 
+def turned(u: np.ndarray, cosine: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and each turned towards another one (that is not as near) until they have this cosine."""
+    rng = np.random.default_rng(seed)
+    other = u[rng.permutation(len(u))]
+    along = (u * other).sum(axis=1, keepdims=True)
+    side = other - along * u
+    far = (along[:, 0] < cosine) & (np.linalg.norm(side, axis=1) > 1e-9)
+    u, side = u[far], side[far]
+    return u, cosine * u + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+
+
 class Codes:
-    """Mean and rotation of iterative quantisation."""
+    """Mean and rotations of iterative quantisation, as many as pairs of the cosine need within ``most`` tables.
 
-    def __init__(self, x: np.ndarray, seed: int = 9):
+    ``bits`` is 0 where that is not enough.
+    """
+
+    def __init__(self, x: np.ndarray, cosine: float, most: int = MOST, seed: int = 9):
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
-        dim = x.shape[1]
-        self.bits = min(MAX_BITS, dim)
+        self.bits = min(MAX_BITS, x.shape[1])
         self.mean = u.mean(axis=0)
         v = u - self.mean
         _, vectors_ = np.linalg.eigh(v.T @ v)
         axes = vectors_[:, ::-1][:, : self.bits]
         p = v @ axes
+        pairs = turned(u, cosine)
+        self.maps: list[np.ndarray] = []
+        self.tables, self.recall = 0, 0.0
+        met = np.zeros(len(pairs[0]), bool)
+        while self.recall < RECALL:
+            self.maps.append(axes @ self.rotation(p, seed + len(self.maps)))
+            self.tables += -(-self.bits // SUBSTRING)
+            if self.tables > most:
+                self.bits, self.tables, self.maps, self.recall = 0, 1, [], 1.0
+                return
+            met |= (self.code(pairs[0], self.maps[-1]) == self.code(pairs[1], self.maps[-1])).any(axis=1)
+            self.recall = float(met.mean()) if len(met) else 1.0
+
+    def rotation(self, p: np.ndarray, seed: int) -> np.ndarray:
         r, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((self.bits, self.bits)))
         for _ in range(ROUNDS):
             s, _, t = np.linalg.svd(np.where(p @ r >= 0, 1.0, -1.0).T @ p)
             r = (s @ t).T
-        self.map = axes @ r
+        return r
+
+    def code(self, u: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return np.packbits((u - self.mean) @ by >= 0, axis=1)
 
     def bytes(self, x: np.ndarray) -> np.ndarray:
-        """Codes as bytes, one per table."""
+        """Codes as bytes, one per table; all zero in the only table where all pairs are compared."""
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
-        return np.packbits((u - self.mean) @ self.map >= 0, axis=1)
+        return np.hstack([self.code(u, by) for by in self.maps]) if self.maps else np.zeros((len(x), 1), "u1")
 
 
 def smallest(adjacent: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -77,8 +112,11 @@ def link_cell(table: int, ids, weights, x, codes, side, across: bool, threshold:
     np.fill_diagonal(linked, False)
     if across:
         linked &= side[:, None] != side[None, :]
-    for t in range(table):
-        linked &= codes[:, t][:, None] != codes[:, t][None, :]
+    if table:
+        a, b = np.nonzero(linked)
+        for lo in range(0, len(a), 1 << 18):
+            i, j = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
+            linked[i, j] = (codes[i, :table] != codes[j, :table]).all(axis=1)
     some = linked.any(axis=1)
     if not some.any():
         return ids[:0], weights[:0], ids[:0]
@@ -104,18 +142,20 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", col: str = "embedding",
     members = ws.save(rows.mapInArrow(fingerprint, CLASS), "members")
     classes = ws.save(members.groupBy("fp").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vec").alias("vec")), "classes")
     learned = vectors.sample(classes.select("vec"), SAMPLE)
-    codes = Codes(learned if len(learned) else np.array([classes.first()["vec"]]))
-    tables = -(-codes.bits // SUBSTRING)
+    codes = Codes(learned if len(learned) else np.array([classes.first()["vec"]]), threshold, min(MOST, -(-classes.count() // BLOCK)))
+    tables = codes.tables
+    kind = "float" if dict(df.dtypes)[col] == "array<float>" else "double"  # the index holds vectors as wide as they came
 
     def keyed(batches):
         for batch in batches:
-            ids, weights, vecs = batch.column(0), batch.column(1), batch.column(2)
-            c = codes.bytes(vectors.block(vecs, dim))
+            ids, weights = batch.column(0), batch.column(1)
+            c = codes.bytes(vectors.block(batch.column(2), dim))
+            vecs = batch.column(2).cast(pa.list_(pa.float32() if kind == "float" else pa.float64()))
             packed = pa.array([row.tobytes() for row in c], pa.binary())
             for t in range(tables):
                 yield pa.record_batch([pa.array(np.full(len(c), t, "i4")), pa.array(c[:, t].astype("i4")), ids, weights, packed, vecs], names=["t", "sub", "id", "weight", "code", "vec"])
 
-    index = classes.select("id", "weight", "vec").mapInArrow(keyed, "t int, sub int, id long, weight long, code binary, vec array<double>")
+    index = classes.select("id", "weight", "vec").mapInArrow(keyed, f"t int, sub int, id long, weight long, code binary, vec array<{kind}>")
     sizes = ws.save(index.groupBy("t", "sub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
     placed = index.join(sizes, ["t", "sub"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

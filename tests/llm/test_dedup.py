@@ -159,6 +159,26 @@ def test_linked_vectors(spark, monkeypatch, block):
     assert all(got[k].n_links == 0 and got[k].component_id == k and got[k].kept for k, _ in ODD)
 
 
+@pytest.mark.parametrize(("dim", "common", "block"), [(64, 0.0, 16), (64, 0.65, 16), (64, 0.82, 1024), (16, 0.0, 16), (24, 0.5, 16)])
+def test_links_of_least_cosine(spark, monkeypatch, dim, common, block):
+    """Pairs of cosine 0.90 to 0.95 around one shared direction: at least 99 of 100 are linked."""
+    monkeypatch.setattr(op9_itq, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    m = unit(rng.standard_normal((1, dim)))
+    own = lambda n: unit((v := rng.standard_normal((n, dim))) - (v @ m.T) * m)
+    a = own(500)
+    b = own(500)
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    inner = (rng.uniform(0.902, 0.948, (500, 1)) - common) / (1 - common)
+    u = np.sqrt(common) * m + np.sqrt(1 - common) * np.vstack([a, inner * a + np.sqrt(1 - inner**2) * b])
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(u)], "vec_id long, embedding array<double>")
+    got = op9_itq.near_duplicates(df).agg({"n_links": "sum"}).first()[0]
+    assert 0.99 * linked.sum() <= got <= linked.sum()
+
+
 def test_empty(spark):
     assert op9_itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
     assert op4_minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
