@@ -1,11 +1,14 @@
 """Operator 8: nearest neighbours by inner product through multiprobe p-stable hashing.
 
-Vectors get one more component so that all have the largest norm; the order by inner product is then the order by
-distance.  Each of ``TABLES`` tables hashes with ``HASHES`` Gaussian projections cut into slots.  For a query the
-projection of a neighbour of cosine ``rho`` is normal with mean ``rho`` times the query's, which gives every perturbed
-bucket a success probability; buckets are visited in descending order of it until their sum reaches ``COVER``.  Table
-candidates are merged and ranked by the exact inner product.  ``rho`` is estimated on a bounded sample: the cosine
-that a twentieth neighbour has, by the rank that corresponds to it in the sample.
+Rows are parted by norm into ranges of a factor of the square root of two.  In a range vectors get one more component so that
+all have its largest norm; the order by inner product is then the order by distance.  Each of ``TABLES`` tables hashes
+with ``HASHES`` Gaussian projections cut into slots.  For a query the projection of a neighbour of inner product ``rho``
+(in units of both norms) is normal with mean ``rho`` times the query's plus the filling component's mean share; what the
+neighbours' norms leave beside ``rho`` and the filling component's variance make its variance.  That gives every perturbed
+bucket a success probability; buckets are visited in descending order of it until their sum reaches ``COVER`` in each
+range and table.  Candidates are merged and ranked by the exact inner product.  The inner product that a twentieth
+neighbour has is estimated on a bounded sample, by the rank that corresponds to it there.  A range of at most ``FEW`` rows is
+one bucket that all queries visit.
 
 Buckets are grouped into cells.  A cell over ``CELL`` rows is split by a hash of the row, queries visit every part, and
 queries are dealt out in blocks of ``QUERY_BLOCK``, so a hot bucket never meets in one task and no candidate pair
@@ -33,17 +36,27 @@ from lectern.llm.common import Workspace
 TABLES, HASHES, WIDTH, COVER = 2, 4, 1.0, 0.85
 REACH = 6  # slots on either side of zero; the outermost ones are open
 CELL, QUERY_BLOCK, SAMPLE = 16_384, 4_096, 2_000
+RANGES, FEW = 24, 512
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 class Hashes:
-    """Projections and slots, from a fixed seed; ``norm`` is the largest norm, ``rho`` the neighbours' cosine."""
+    """Projections and slots of a range of norms, from a fixed seed.
 
-    def __init__(self, dim: int, norm: float, rho: float, cover: float = COVER, seed: int = 20):
+    ``norm`` is the largest norm, ``rho`` the neighbours' inner product with a unit query in units of it, ``norms`` those of sampled rows.
+    """
+
+    def __init__(self, dim: int, norm: float, rho: float, norms: np.ndarray, cover: float = COVER, seed: int = 20):
         rng = np.random.default_rng(seed)
         self.a = rng.standard_normal((TABLES, HASHES, dim + 1))
         self.b = rng.uniform(0, WIDTH, (TABLES, HASHES))
-        self.norm, self.rho, self.cover = norm, rho, cover
+        self.norm, self.rho, self.cover = norm, float(np.clip(rho, 0.0, 0.995)), cover
+        r = np.minimum(norms / norm, 1.0)
+        r = r[r >= self.rho]  # shorter rows are no neighbours
+        r = r if len(r) else np.array([(1 + self.rho) / 2])
+        fill = np.sqrt(1 - r * r)
+        self.fill, self.rest = fill.mean(), max(0.0, float((r * r).mean()) - self.rho**2)
+        self.spread = fill.var()
 
     def slots(self, x: np.ndarray) -> np.ndarray:
         """Projections in units of the norm, for vectors with the norm-filling component: rows x tables x hashes."""
@@ -59,12 +72,12 @@ class Hashes:
     def probes(self, q: np.ndarray) -> list[np.ndarray]:
         """For one query and each table the buckets to visit, in descending order of estimated success."""
         unit = np.append(q / np.linalg.norm(q), 0.0)
-        sd = max(1e-6, float(np.sqrt(1 - self.rho**2)))
         out = []
         for t in range(TABLES):
-            mean = self.rho * (self.a[t] @ unit) + self.b[t]
+            mean = self.rho * (self.a[t] @ unit) + self.fill * self.a[t][:, -1] + self.b[t]
+            sd = np.sqrt(np.maximum(1e-12, self.rest + self.spread * self.a[t][:, -1] ** 2))
             edges = np.arange(-REACH, REACH + 1) * WIDTH
-            cdf = normal_cdf((edges[None, :] - mean[:, None]) / sd)
+            cdf = normal_cdf((edges[None, :] - mean[:, None]) / sd[:, None])
             cdf[:, 0], cdf[:, -1] = 0.0, 1.0
             share = np.diff(cdf, axis=1)
             prob, number = share[0], np.arange(2 * REACH)
@@ -87,15 +100,14 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
     return np.interp(z, _GRID, _CDF)
 
 
-def estimate_rho(x: np.ndarray, total: int, k: int) -> float:
-    """The low quartile, over sampled vectors, of the cosine at the rank that matches the k-th neighbour."""
+def estimate_product(x: np.ndarray, total: int, k: int) -> float:
+    """The low quartile, over sampled vectors as unit queries, of the inner product at the rank that matches the k-th neighbour."""
     if len(x) < 3:
         return 0.0
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u[:256] @ u.T
-    s[np.arange(len(s)), np.arange(len(s))] = -2
+    s = x[:256] / np.linalg.norm(x[:256], axis=1, keepdims=True) @ x.T
+    s[np.arange(len(s)), np.arange(len(s))] = -np.inf
     rank = min(len(x) - 2, max(0, round(k * len(x) / max(total, 1))))
-    return float(np.clip(np.quantile(-np.sort(-s, axis=1)[:, rank], 0.25), 0.0, 0.995))
+    return float(np.quantile(-np.sort(-s, axis=1)[:, rank], 0.25))
 
 
 def best(ids: np.ndarray, x: np.ndarray, qid: int, q: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,28 +131,41 @@ def search(df: DataFrame, key: str = "vec_id", col: str = "embedding", every: in
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     norm2 = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
     total, n_queries, top = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(norm2)).first()
-    hashes = Hashes(dim, float(np.sqrt(top)) * (1 + 1e-12), estimate_rho(vectors.sample(rows, SAMPLE), total, k), cover)
+    low = F.when(norm2 > top / 2 ** (RANGES - 1), F.floor(F.log2(F.lit(top) / norm2))).otherwise(RANGES - 1).cast("int")
+    rows = rows.withColumn("range", low)
+    ranges = {r["range"]: (r["n"], float(np.sqrt(r["top"])) * (1 + 1e-12)) for r in rows.groupBy("range").agg(F.count("*").alias("n"), F.max(norm2).alias("top")).collect()}
+    learned = vectors.sample(rows, SAMPLE)
+    least, norms = estimate_product(learned, total, k), np.linalg.norm(learned, axis=1)
+    place = np.digitize(norms, [norm for _, norm in sorted(ranges.values(), key=lambda v: v[1])], right=True)
+    order_of = {j: i for i, j in enumerate(sorted(ranges, key=lambda j: ranges[j][1]))}
+    hashes = {j: Hashes(dim, norm, least / norm, norms[place == order_of[j]], cover) for j, (n, norm) in ranges.items() if n > FEW}
     serial = count()
-    groups, query_blocks = max(1, total // CELL), max(1, -(-n_queries // QUERY_BLOCK))
+    groups = {j: max(1, n // CELL) for j, (n, _) in ranges.items()}
+    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    small = np.zeros(1, "i8")
 
-    def group_of(bucket: np.ndarray) -> np.ndarray:
-        return (bucket * 2654435761 % (1 << 32)) % groups
+    def group_of(bucket: np.ndarray, j: int) -> np.ndarray:
+        return (bucket * 2654435761 % (1 << 32)) % groups[j]
 
     def index(batches):
         for batch in batches:
-            x, ids = vectors.block(batch.column(1), dim), batch.column(0)
-            b = hashes.buckets(x)
-            for t in range(TABLES):
-                yield pa.record_batch([pa.array(np.full(len(x), t, "i4")), pa.array(group_of(b[:, t])), pa.array(b[:, t]), ids, batch.column(1)], names=["t", "g", "bucket", "vec_id", "vec"])
+            kinds = batch.column(2).to_numpy()
+            for j in np.unique(kinds).tolist():
+                part = batch.filter(pa.array(kinds == j))
+                ids = part.column(0)
+                b = hashes[j].buckets(vectors.block(part.column(1), dim)) if j in hashes else np.zeros((len(ids), 1), "i8")
+                for t in range(b.shape[1]):
+                    yield pa.record_batch([pa.array(np.full(len(ids), j * TABLES + t, "i4")), pa.array(group_of(b[:, t], j)), pa.array(b[:, t]), ids, part.column(1)], names=["t", "g", "bucket", "vec_id", "vec"])
 
     def probe(batches):
         for batch in batches:
             x, ids = vectors.block(batch.column(1), dim), batch.column(0).to_pylist()
             out: list[tuple] = []
             for qid, q in zip(ids, x, strict=True):
-                for t, visited in enumerate(hashes.probes(q)):
-                    g = group_of(visited)
-                    out += [(t, int(v), qid, visited[g == v].tolist(), q.tolist()) for v in np.unique(g)]
+                for j in ranges:
+                    for t, visited in enumerate(hashes[j].probes(q) if j in hashes else [small]):
+                        g = group_of(visited, j)
+                        out += [(j * TABLES + t, int(v), qid, visited[g == v].tolist(), q.tolist()) for v in np.unique(g)]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
             for lo in range(0, len(out), 4096):
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out[lo : lo + 4096], strict=True), kinds, strict=True)], names=["t", "g", "query_id", "visited", "q"])
@@ -178,7 +203,8 @@ def search(df: DataFrame, key: str = "vec_id", col: str = "embedding", every: in
     short = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")).join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(k, total - 1))
     short = ws.save(short.select("query_id", "q"), "short")
     if total > 1 and short.head(1):
-        everywhere = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("g"), "query_id", F.lit(None).cast("array<long>").alias("visited"), "q")
-        found = found.join(short, "query_id", "left_anti").unionByName(in_cells(indexed.where("t = 0"), everywhere))
+        cells = [F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda v: F.struct(F.lit(j * TABLES).alias("t"), v.cast("long").alias("g"))) for j, n in groups.items()]
+        everywhere = short.select(F.explode(F.concat(*cells)).alias("at"), "query_id", F.lit(None).cast("array<long>").alias("visited"), "q").select("at.t", "at.g", "query_id", "visited", "q")
+        found = found.join(short, "query_id", "left_anti").unionByName(in_cells(indexed.where(F.col("t") % TABLES == 0), everywhere))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

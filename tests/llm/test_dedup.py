@@ -135,6 +135,29 @@ def test_neighbours(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("norms", ["one", "outlier", "lognormal"])
+def test_neighbours_of_unequal_norms(spark, norms):
+    rng = np.random.default_rng(12)
+    n, dim = 6000, 32
+    x = rng.standard_normal((120, dim))[rng.integers(0, 120, n)] + 0.5 * rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "outlier":
+        x[77] *= 5
+    elif norms == "lognormal":
+        x *= rng.lognormal(0, 0.5, (n, 1))
+        x[77] *= 5
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in op8_ann.search(df, every=60).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for k in range(0, n, 60):
+        score = x @ x[k]
+        score[k] = -np.inf
+        hits += len(got[k] & set(np.argsort(-score)[:20].tolist()))
+    assert hits / (20 * 100) >= 0.9
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(20 * k, [float(k), 1.0]) for k in range(5)], "vec_id long, embedding array<double>")
     got = op8_ann.search(df).collect()
