@@ -247,7 +247,7 @@ def source_titles(spark, sf_dir):
 
 @query
 def find_on_page(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.col("text").alias("wanted"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("wanted"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     near = evaluate.anchors_in(b.select(F.col("item_id").alias("anchor_id"), F.array_join(F.slice(T.words("wanted"), 2, 6), " ").alias("anchor")), d.select(F.col("doc_id").alias("chunk_id"), "text"))
     j = near.join(b, F.col("anchor_id") == F.col("item_id")).join(d, F.col("chunk_id") == F.col("doc_id"))
