@@ -1,12 +1,15 @@
 """Operator 7: substring dedup by sliding sentence spans.
 
 Runs of consecutive sentences are hashed to 128 bits: from each sentence, however short, the shortest run of two sentences
-or more with at least ``RUN`` words, or of any number with ``LONG`` words; and the shortest such run that ends the text.  Runs
+or more with at least ``RUN`` words, or of any number with ``LONG`` words; and the shortest such run that ends with each
+sentence.  So whatever sentences two texts share in one piece of that size are covered by shared runs to the last.  Runs
 are joined over the whole corpus, and all sentences covered by a run that occurred before (in the order of document
 id, then place) are removed.  The first occurrence stays.  Case and blanks don't tell runs apart.
 
-A sentence ends after ``. ! ? ,`` and a blank, at a line break, and before a capitalised word, so that a passage pasted
-into the middle of a sentence, or cut off in one, still has whole ones.
+A sentence ends after ``. ! ? ,`` (or such a mark of another script) and a blank, at a line break, and before a capitalised
+word, so that a passage pasted into the middle of a sentence, or cut off in one, still has whole ones.  In scripts without
+blanks between words it ends after a full-width mark and at a blank between two of their letters, and their letters
+count: ``WIDE`` Chinese or Japanese ones, or ``NARROW`` Thai, Lao, Khmer or Burmese ones, as a word.
 
 The count of each hash is pre-aggregated on the map side without places, and only hashes that repeat are kept, as a table in
 the shared folder.  The texts are hashed again for the join with it, a shuffle join that AQE splits where a passage is hot;
@@ -33,17 +36,25 @@ from pyspark.sql import types as T
 from lectern.llm.common import Workspace, slices
 
 RUN, LONG = 16, 32
-UPPER = "A-ZÀ-ÖØ-Þ"
-LOWER = "a-zß-öø-ÿ"
+WIDE, NARROW = 2, 4
+UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩЀ-Я"
+LOWER = "a-zß-öø-ÿα-ωа-џ"
+HAN = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+THAI = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17dd"
 #: Where a sentence ends: the blanks after a mark, around a line break, or before a capitalised word.
-END = re.compile(rf"(?<=[.!?,])\s+|\s*\n\s*|\s+(?=[{UPPER}][{LOWER}])")
+MARKED = rf"(?<=[.!?,؟،۔।॥։።])\s+|\s*\n\s*|\s+(?=[{UPPER}][{LOWER}])"
+END = re.compile(MARKED)
+#: The same in texts that hold letters of scripts without blanks between words.
+UNSPACED_END = re.compile(rf"(?<=[。！？，、；：｡､])\s*(?![。！？，、；：｡､」』）”’])|(?<=[。！？，、；：｡､][」』）”’])\s*|(?<=[{HAN}{THAI}])\s+(?=[{HAN}{THAI}])|{MARKED}")
+WIDE_LETTER, NARROW_LETTER, UNSPACED = re.compile(f"[{HAN}]"), re.compile(f"[{THAI}]"), re.compile(f"[{HAN}{THAI}]")
 UID, SPANS = "__row_uid", "__row_spans"
 
 
 def sentences(text: str) -> tuple[list[int], list[list[str]]]:
     """Where each sentence starts (and last, where the text ends), and its lower-cased words."""
     starts, words, at = [], [], 0
-    for m in END.finditer(text):
+    end = UNSPACED_END if not text.isascii() and UNSPACED.search(text) else END
+    for m in end.finditer(text):
         if w := text[at : m.start()].lower().split():
             starts.append(at)
             words.append(w)
@@ -54,6 +65,18 @@ def sentences(text: str) -> tuple[list[int], list[list[str]]]:
     return [*starts, len(text)], words
 
 
+def size(words: list[str]) -> int:
+    """A sentence's words, where letters of unspaced scripts count by their number."""
+    n = 0
+    for w in words:
+        if w.isascii() or not UNSPACED.search(w):
+            n += 1
+        else:
+            wide, narrow = len(WIDE_LETTER.findall(w)), len(NARROW_LETTER.findall(w))
+            n += max(1, round(wide / WIDE + narrow / NARROW))
+    return n
+
+
 def shortest(sizes: list[int]) -> list[int]:
     """For each sentence, as long as there is one, the end of the shortest run that starts there."""
     ends, j, held = [], 0, 0
@@ -73,14 +96,14 @@ def runs(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return []
     starts, words = sentences(text)
-    ends = shortest([len(w) for w in words])
+    plain = text.isascii() or not UNSPACED.search(text)
+    ends = shortest([len(w) if plain else size(w) for w in words])
     if not ends:
         return []
     parts = [" ".join(w).encode("utf-8", "replace") for w in words]
     whole, at = b" ".join(parts), [0, *accumulate(len(p) + 1 for p in parts)]
-    spans = list(enumerate(ends))
-    if ends[-1] < len(words):
-        spans.append((len(ends) - 1, len(words)))
+    # the shortest run that ends between this start's end and the next start's also starts here
+    spans = [(i, e) for i, (j, after) in enumerate(zip(ends, [*ends[1:], len(words) + 1], strict=True)) for e in range(j, max(j + 1, after))]
     return [(xxhash.xxh3_128_intdigest(whole[at[i] : at[j] - 1]), starts[i], starts[j]) for i, j in spans]
 
 

@@ -104,6 +104,26 @@ def test_spans_of_short_lines(spark, line):
         assert got[k].split() == f"Words of document {k} stand here other words end document {k}".split()
 
 
+@pytest.mark.parametrize("sizes", [(33, 31), (20, 20, 3, 31), (40, 5), (9, 9, 9)])
+def test_spans_leave_no_end(sizes):
+    """A shared passage goes whole, also where no run from a sentence ends with it."""
+    passage = " ".join(" ".join(["S" + f"t{k}"] + [f"w{k}x{i}" for i in range(n - 1)]) + "." for k, n in enumerate(sizes))
+    texts = [f"First words {k} here. {passage} Then other{k} ones follow in text number {k} and so on." for k in range(2)]
+    known = {h for h, *_ in op7_spans.runs(texts[0])}
+    left, _ = op7_spans.without(texts[1], [lo << 32 | hi for h, lo, hi in op7_spans.runs(texts[1]) if h in known])
+    assert not set(passage.split()) & set(left.split())
+
+
+@pytest.mark.parametrize(("letters", "mark"), [("一丁七万丈三上下不与丑专且世丘丙业丛东丝", "。"), ("あいうえおかきくけこさしすせそたちつてと", "、"), ("กขคงจฉชซญฐณดตถทธนบปผ", " ")])
+def test_spans_of_unspaced_scripts(letters, mark):
+    rng = random.Random(4)
+    passage = mark.join("".join(rng.choice(letters) for _ in range(24)) for _ in range(10))
+    texts = ["".join(rng.choice(letters) for _ in range(30)) + (mark + passage + mark) + "".join(rng.choice(letters) for _ in range(30)) for _ in range(2)]
+    known = {h for h, *_ in op7_spans.runs(texts[0])}
+    left, _ = op7_spans.without(texts[1], [lo << 32 | hi for h, lo, hi in op7_spans.runs(texts[1]) if h in known])
+    assert passage in texts[1] and len(left) <= 62
+
+
 def vectors(n=700, dim=24):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((n, dim))
