@@ -20,12 +20,20 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLANKS = " \n\t\r"
 PIECES = re.compile(r"[ \n\t\r]*+[^ \n\t\r.,!?]++(?:(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])|(?![.,!?]))|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: Blanks other than the four above: Python's and the tokeniser's notions differ on some, so such texts are not cut.
-ODD = re.compile(r"[^\S \n\t\r]")
-CACHE_PIECES = 500_000
+#: Blanks other than the four above: Python's and the tokeniser's notions differ on some, so such texts are not cut; nor those with CUT.
+ODD = "\0\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+CUT = "\0"
+#: Marks of a cut between two blanks, or before an end mark that follows no letter or digit: no boundaries.
+NO_CUT = re.compile(r"\0(?:(?<=[ \n\t\r]\0)(?=[ \n])|(?<![A-Za-z0-9À-ÖØ-öø-ÿ]\0)(?=[.,!?]))")
+#: A word that is one pre-token after its blank, if it has one.
+WORD = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)")
+#: Two generations of so many pieces, of at most CACHED_CHARS characters, take about 200 MB in a worker.
+CACHE_PIECES = 250_000
 CACHED_CHARS = 48
 #: Pieces of more characters are encoded by tree concatenation, with leaves of LEAF bytes.
 LONG = 4096
@@ -39,6 +47,10 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def odd(text: str) -> bool:
+    return any(c in text for c in ODD)
+
+
 class Codec:
     """A tokenizer file with its byte tables and piece cache."""
 
@@ -55,7 +67,11 @@ class Codec:
         self.strings: list[str] = [""] * self.size
         for s, i in self.tok.get_vocab(with_added_tokens=True).items():
             self.strings[i] = s
-        back = {c: b for b, c in byte_alphabet().items()}
+        alphabet = byte_alphabet()
+        self.byte_strings, self.space = alphabet, alphabet[32]
+        self.raw_ids = [i.to_bytes(4, "little") for i in range(self.size)]
+        self.newline = self.raw_ids[self.tok.token_to_id(alphabet[10])]
+        back = {c: b for b, c in alphabet.items()}
         added = set(self.special)
         self.bytes = [s.encode() if s in added else bytes(back[c] for c in s) for s in self.strings]
         self.lens = np.array([len(b) for b in self.bytes], "i8")
@@ -66,41 +82,37 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (little-endian uint32) of each whole text; null counts as empty."""
-        flat: list[str] = []
-        ends: list[int | None] = []
-        for t in texts:
-            if t and ODD.search(t):
-                ends.append(None)
-                continue
-            if t:
-                flat += PIECES.findall(t)
-            ends.append(len(flat))
-        found = list(map(self.cache.get, flat))
-        gaps, k = [], -1
-        try:
-            while True:
-                k = found.index(None, k + 1)
-                gaps.append(k)
-        except ValueError:  # no further gap
-            pass
-        if gaps:
-            new = self._learn({flat[k] for k in gaps})
-            for k in gaps:
-                found[k] = new[flat[k]]
-        out, at = [], 0
-        for t, end in zip(texts, ends, strict=True):
-            if end is None:
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4"))
-            else:
-                out.append(np.frombuffer(b"".join(found[at:end]), "<u4"))
-                at = end
-        return out
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        whole = {k: np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4") for k, t in enumerate(texts) if t and odd(t)}
+        marked = pa.array(["" if not t or k in whole else self.marked(t) for k, t in enumerate(texts)], pa.string())
+        split = pc.split_pattern(marked, CUT)
+        coded = split.values.dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.cache.get, pieces))
+        missing = [p for p, v in zip(pieces, found, strict=True) if v is None]
+        if missing:
+            new = self._learn(missing)
+            found = [new[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4"))).take(coded.indices)
+        flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()[split.offsets.to_numpy()]
+        return [whole.get(k, flat[lo:hi]) for k, (lo, hi) in enumerate(zip(at, at[1:], strict=False))]
+
+    @staticmethod
+    def marked(text: str) -> str:
+        """The text with CUT at boundaries of the pre-tokeniser."""
+        for mark in " \n.,!?":
+            text = text.replace(mark, CUT + mark)
+        return NO_CUT.sub("", text)
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of pieces that the cache lacks, from its older generation or the tokenizer; short ones are kept."""
-        old = self.old.get
-        new = {p: v for p in missing if (v := old(p)) is not None}
-        self._encode_pieces(missing - new.keys(), new)
+        new, old, unknown = {}, self.old.get, []
+        for p in missing:
+            if (v := old(p)) is None:
+                unknown.append(p)
+            else:
+                new[p] = v
+        self._encode_pieces(unknown, new)
         self.cache.update(new)
         for p in new:
             if len(p) > CACHED_CHARS:
@@ -109,35 +121,24 @@ class Codec:
             self.old, self.cache = self.cache, {}
         return new
 
-    def _encode_pieces(self, missing: set[str], new: dict[str, bytes]) -> None:
-        """Pieces that start with a blank and end in a letter are encoded joined, the others singly."""
-        joined, single, run, size = [], [], [], 0
+    def _encode_pieces(self, missing: list[str], new: dict[str, bytes]) -> None:
+        """Words go to the model as one pre-token each, other pieces through the whole tokenizer."""
+        single, tokenize, strings, raw, space = [], self.tok.model.tokenize, self.byte_strings, self.raw_ids, self.space
         for p in missing:
             if len(p) > self.long:
                 new[p] = np.array(self.tree(p), "<u4").tobytes()
-            elif p[0] in BLANKS and p[-1].isalnum():
-                run.append(p)
-                size += len(p)
-                if size > 1 << 11:
-                    joined.append(run)
-                    run, size = [], 0
+            elif not p:
+                new[p] = b""
+            elif m := WORD.fullmatch(p):
+                blank, word = m.groups()
+                coded = word if word.isascii() else word.encode().decode("latin-1").translate(strings)
+                ids = b"".join([raw[t.id] for t in tokenize(space + coded if blank == " " else coded)])
+                new[p] = self.newline + ids if blank == "\n" else ids
             else:
                 single.append(p)
-        if run:
-            joined.append(run)
-        if joined:
-            got = self.tok.encode_batch_fast(["".join(run) for run in joined], add_special_tokens=False)
-            ids = np.array([i for e in got for i in e.ids], "<u4")
-            flat = [p for run in joined for p in run]
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in flat])
-            at = np.searchsorted(np.cumsum(self.lens[ids]), ends) + 1
-            raw, lo = ids.tobytes(), 0
-            for p, hi in zip(flat, (4 * at).tolist(), strict=True):
-                new[p] = raw[lo:hi]
-                lo = hi
         if single:
             for p, e in zip(single, self.tok.encode_batch_fast(single, add_special_tokens=False), strict=True):
-                new[p] = np.array(e.ids, "<u4").tobytes()
+                new[p] = b"".join([raw[i] for i in e.ids])
 
     # -- tree concatenation -----------------------------------------------------------------------
 

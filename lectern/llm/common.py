@@ -13,9 +13,27 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, local mode) one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset in local mode one of our own, on a cluster an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return at.rstrip("/") if at else "file://" + os.path.join(tempfile.gettempdir(), "lectern-shared")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "lectern-shared")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, or with underscores before it as long as it is among those taken (in either case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def without_names(df: DataFrame, *names: str) -> DataFrame:
+    """The table without columns of these names, in whatever case, so that an operator can add its own."""
+    lower = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
 
 
 class Workspace:

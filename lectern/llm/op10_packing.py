@@ -10,7 +10,10 @@ powers of two, so nothing is padded.
 
 A partition is packed in one pass in the order of its rows; nothing is shuffled and nothing unbounded is held.  Sequence ids are ``partition << 40 | number``, the same when a task is repeated.
 
-Cases: null text is the end id alone; null keys stay null; repeated rows are packed each on its own; other
+Instruction data has a prompt beside the text: its ids come first and bear no loss, the text's and the end id do.  Plain documents have
+none, so each of their ids bears loss.
+
+Cases: null text is the end id alone, and a null prompt empty; null keys stay null; repeated rows are packed each on its own; other
 columns are ignored; an empty table gives no row.
 """
 
@@ -31,6 +34,7 @@ from lectern.llm.common import slices
 TOKENS = 1024
 SEGMENTS = 64
 POOL = 512
+NO_IDS = np.empty(0, "<u4")
 
 
 class Packer:
@@ -130,10 +134,10 @@ class Packer:
             yield self.fill()
 
 
-def pack_documents(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", tokens: int = TOKENS, segments: int = SEGMENTS, finish=None, schema: pa.Schema | None = None) -> DataFrame:
-    """Rows ``(key, start, length, sequence_id, offset, ids, doc_tokens)``, one for each piece of a document.
+def pack_documents(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, prompt: str | None = None, finish=None, schema: pa.Schema | None = None) -> DataFrame:
+    """Rows ``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``, one for each piece of a document.
 
-    Every token of a plain document bears loss.  ``finish(ids) -> value`` with a one-column ``schema`` puts another
+    ``loss`` limits a sequence's loss-bearing tokens (none: as many as tokens); ``prompt`` names the column of prompts.  ``finish(ids) -> value`` with a one-column ``schema`` puts another
     column in the place of ``ids``.
     """
     fin = finish or (lambda ids: ids.tobytes())
@@ -141,7 +145,7 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), last, ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches):
-        codec, packer = bpe.codec(tokenizer), Packer(tokens, segments)
+        codec, packer = bpe.codec(tokenizer), Packer(tokens, segments, loss)
         docs: dict[int, list] = {}  # serial -> key, ids, tokens not yet placed
         number, serial, rows = TaskContext.get().partitionId() << 40, 0, []
 
@@ -164,11 +168,12 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
             return batch
 
         for batch in batches:
-            for part in slices(batch):
-                for k, ids in zip(part.column(0).to_pylist(), codec.encode(part.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.array([end_id], "<u4"))
+            for part in slices(batch, 2048, 2 << 20):
+                ahead = codec.encode(part.column(2).to_pylist()) if prompt else [NO_IDS] * part.num_rows
+                for k, first, ids in zip(part.column(0).to_pylist(), ahead, codec.encode(part.column(1).to_pylist()), strict=True):
+                    ids = np.concatenate([first, ids, np.array([end_id], "<u4")])
                     docs[serial] = [k, ids, len(ids)]
-                    closed(packer.add(serial, len(ids)))
+                    closed(packer.add(serial, len(ids), np.arange(len(ids)) >= len(first) if prompt else None))
                     serial += 1
                 if rows:
                     yield flush()
@@ -178,7 +183,8 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
 
     kinds = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
     ddl = ", ".join(f"{f.name} {kinds[f.type]}" for f in out)
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, ddl)
+    columns = [F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *([F.col(prompt).alias("prompt")] if prompt else [])]
+    return df.select(*columns).mapInArrow(run, ddl)
 
 
 def crc(ids: np.ndarray) -> int:

@@ -31,7 +31,7 @@ TEXT, UNITS, START, MORE, SPECIAL = range(5)
 
 def cut(codec: bpe.Codec, text: str, size: int) -> Iterator[tuple[int, str]]:
     """Pieces of about ``size`` characters whose encodings concatenate, after joins at each MORE, to the text's."""
-    if bpe.ODD.search(text):
+    if bpe.odd(text):
         yield from cut_units(codec, text, size)
         return
     run: list[str] = []
@@ -119,21 +119,21 @@ def encode_decode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     def short(batches):
         codec = bpe.codec(tokenizer)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2048, 2 << 20):
                 keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 yield emit([fin(k, ids, codec.decode(ids)) for k, ids in zip(keys, codec.encode(texts), strict=True)], out_schema)
 
     def split(batches):
         codec = bpe.codec(tokenizer)
         for batch in batches:
-            for part in slices(batch, 16):
+            for part in slices(batch, 16, 1 << 20):
                 rows = [(u, k, ix, kind, body) for u, k, t in zip(*(c.to_pylist() for c in part.columns), strict=True) for ix, (kind, body) in enumerate(cut(codec, t, piece_chars))]
                 yield emit(rows, arrow_schema(PIECES))
 
     def encode(batches):
         codec = bpe.codec(tokenizer)
         for batch in batches:
-            for part in slices(batch, 64):
+            for part in slices(batch, 64, 1 << 20):
                 rows = [(u, k, ix, kind, encode_piece(codec, kind, body).tobytes()) for u, k, ix, kind, body in zip(*(c.to_pylist() for c in part.columns), strict=True)]
                 yield emit(rows, arrow_schema(ENCODED))
 

@@ -9,8 +9,8 @@ A file holds whole documents in ascending key order::
 ``bits`` is the least width that holds the vocabulary.  Any id is found from its block's offset, and a block is
 unpacked with numpy at once.  Files hold at most ``FILE_IDS`` ids (or one longer document).
 
-Cases: null text is a document of the end id alone; null keys come first; rows with equal keys keep all their
-copies, ordered by their text; other columns are ignored; an empty table gives no file and no row.
+Cases: null text is a document of the end id alone; null keys come first (the footer counts them); rows with equal keys keep all
+their copies, ordered by a hash of their text; other columns are ignored; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ MAGIC = b"LBPK0001"
 BLOCK = 4096
 FILE_IDS = 1 << 24
 MANIFEST = pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-NULL_KEY = -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -68,8 +67,8 @@ def file_chunks(keys: list[int | None], docs: list[np.ndarray], bits: int):
         yield raw
     yield np.array(blocks, "<i8").tobytes()
     yield offsets.tobytes()
-    yield np.array([NULL_KEY if k is None else k for k in keys], "<i8").tobytes()
-    foot = json.dumps({"bits": bits, "block": BLOCK, "n_ids": len(ids), "n_docs": len(docs), "n_blocks": len(blocks), "tables_at": at}).encode()
+    yield np.array([0 if k is None else k for k in keys], "<i8").tobytes()
+    foot = json.dumps({"bits": bits, "block": BLOCK, "n_ids": len(ids), "n_docs": len(docs), "n_blocks": len(blocks), "n_null_keys": sum(k is None for k in keys), "tables_at": at}).encode()
     yield foot
     yield struct.pack("<I", len(foot))
 
@@ -98,6 +97,9 @@ class PackedFile:
             out.append(unpack(self.data[self.blocks[k] : self.blocks[k] + (n * self.meta["bits"] + 7) // 8], n, self.meta["bits"]))
         return np.concatenate(out)[lo - first * block : hi - first * block]
 
+    def key(self, k: int) -> int | None:
+        return None if k < self.meta["n_null_keys"] else int(self.keys[k])
+
     def doc(self, k: int) -> np.ndarray:
         return self.ids(int(self.offsets[k]), int(self.offsets[k + 1]))
 
@@ -123,7 +125,7 @@ def write_ids(ws: Workspace, df: DataFrame, tokenizer: str, end_id: int, key: st
             return row
 
         for batch in batches:
-            for cut in slices(batch):
+            for cut in slices(batch, 2048, 2 << 20):
                 for k, ids in zip(cut.column(0).to_pylist(), codec.encode(cut.column(1).to_pylist()), strict=True):
                     if docs and held + len(ids) + 1 > FILE_IDS:
                         yield flush()
@@ -134,7 +136,8 @@ def write_ids(ws: Workspace, df: DataFrame, tokenizer: str, end_id: int, key: st
             yield flush()
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ranged = rows.repartitionByRange(n_parts(df.sparkSession), "key", F.xxhash64("text")).sortWithinPartitions("key", "text")
+    order = [F.col("key"), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(n_parts(df.sparkSession), *order).sortWithinPartitions(*order, "text")
     manifest = ws.save(ranged.mapInArrow(write, "part long, file long, path string, n_docs long, n_ids long"), "manifest")
     # one row per file: the only thing that meets in one task
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
@@ -160,7 +163,7 @@ def _read(manifest: DataFrame, row, columns: list[str]) -> DataFrame:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file = PackedFile(read_file(path))
                 for lo in range(0, len(file.keys), 512):
-                    rows = [row(None if (key := int(file.keys[k])) == NULL_KEY else key, start + int(file.offsets[k]), file.doc(k)) for k in range(lo, min(lo + 512, len(file.keys)))]
+                    rows = [row(file.key(k), start + int(file.offsets[k]), file.doc(k)) for k in range(lo, min(lo + 512, len(file.keys)))]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     spread = manifest.select("path", "start").repartition(n_parts(manifest.sparkSession), "path")

@@ -67,8 +67,8 @@ def test_plain_outputs(docs):
 def test_packing_of_bits(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 9001).astype("<u4")
     assert (op3_tokens.unpack(op3_tokens.pack(ids, bits), len(ids), bits) == ids).all()
-    file = op3_tokens.PackedFile(b"".join(op3_tokens.file_chunks([4, None], [ids[:8000], ids[8000:]], bits)))
-    assert (file.ids(4090, 8195) == ids[4090:8195]).all() and (file.doc(1) == ids[8000:]).all() and file.keys[1] == op3_tokens.NULL_KEY
+    file = op3_tokens.PackedFile(b"".join(op3_tokens.file_chunks([None, -(1 << 63)], [ids[:8000], ids[8000:]], bits)))
+    assert (file.ids(4090, 8195) == ids[4090:8195]).all() and (file.doc(1) == ids[8000:]).all() and file.key(0) is None and file.key(1) == -(1 << 63)
 
 
 def test_least_width():
@@ -98,10 +98,31 @@ def test_packed_sequences(docs):
             at += r.length
         assert at <= 1024 and len(rows) <= op10_packing.SEGMENTS and at & (at - 1) == 0
     assert sum(r.length for r in got) == sum(len(reference(t)) + 1 for _, t in ROWS)
-    one = sorted((r for r in got if r.doc_id == 6), key=lambda r: r.start)
-    ids = np.append(reference(ROWS[5][1]), np.array([0], "<u4"))
-    assert [r.ids_crc32 for r in one] == [op10_packing.crc(ids[r.start : r.start + r.length]) for r in one]
-    assert [r.start for r in one] == [0, *np.cumsum([r.length for r in one])[:-1].tolist()]
+    whole = defaultdict(list)
+    for k, t in ROWS:
+        whole[k].append(np.append(reference(t), np.array([0], "<u4")))
+    for k, copies in whole.items():
+        ids, own = copies[0], sorted((r for r in got if r.doc_id == k), key=lambda r: (r.start, r.length))
+        assert all(r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].astype("<u4").tobytes()) for r in own)
+        covered = np.zeros(len(ids), int)
+        for r in own:
+            covered[r.start : r.start + r.length] += 1
+        assert (covered == len(copies)).all()
+
+
+def test_instruction_data(spark):
+    """Prompts bear no loss; each sequence keeps all three limits, and each id lies in one piece."""
+    rows = [(k, "ask " * (k % 7 * 20), "tell " * (1 + k % 5 * 30)) for k in range(60)] + [(100, None, "x y"), (101, "long " * 700, None)]
+    df = spark.createDataFrame([(k, p, t, 1) for k, p, t in rows], "doc_id long, prompt string, text string, length int")
+    got = op10_packing.pack_documents(df, PATH, 0, tokens=256, segments=5, loss=100, prompt="prompt").collect()
+    size = {k: (len(reference(p)), len(reference(t)) + 1) for k, p, t in rows}
+    sequences, placed = defaultdict(list), defaultdict(int)
+    for r in got:
+        sequences[r.sequence_id].append(r)
+        placed[r.doc_id] += r.length
+    assert placed == {k: a + b for k, (a, b) in size.items()}
+    bearing = [sum(max(0, r.start + r.length - max(r.start, size[r.doc_id][0])) for r in rows_) for rows_ in sequences.values()]
+    assert 90 <= max(bearing) <= 100 and all(sum(r.length for r in rows_) <= 256 and len(rows_) <= 5 for rows_ in sequences.values())
 
 
 @settings(max_examples=60, deadline=None)
