@@ -1,23 +1,26 @@
 """Operator 5: language identification by prediction by partial matching.
 
-For each language a byte context tree of orders 0 to ``ORDER`` is counted on a bounded sample and then frozen.  A
-word is coded byte by byte from its leading blank to the blank after it: from the longest context that the tree has, a byte costs
-``-log2(count / (total + distinct))``, and an escape to the next shorter context ``-log2(distinct / (total + distinct))``; below
-order 0 every byte costs 8 bits.  A document's code length is the sum over all its words, and the language with the
-shortest code wins (the first by name at a tie).  The score is that language's share of ``2 ** -length``.
+For each language a byte context tree of orders 0 to ``ORDER`` is counted on a bounded sample and then frozen.  A text is coded
+byte by byte, all bytes of its UTF-8 form, after ``ORDER`` line breaks that no text pays for: from the longest context
+that the tree has, a byte costs ``-log2(count / (total + distinct))``, and an escape to the next shorter context
+``-log2(distinct / (total + distinct))``; below order 0 every byte costs 8 bits.  The language with the shortest code wins (the
+first by name at a tie).  The score is that language's share of ``2 ** -length``, where the code lengths of a text of over
+``EVIDENCE`` bytes are scaled down to that many, so that length alone makes no text sure.
 
-Sample: per language about ``SAMPLE_DOCS`` labelled documents (never over twice that in all), chosen by a hash of their id, of at
-most ``SAMPLE_CHARS`` characters each; that bounds what reaches the driver.  Prediction takes whole texts.
+Sample: per language about ``SAMPLE_DOCS`` labelled documents (never over twice that), fewer where there are so many languages
+that all would exceed ``SAMPLE_ALL``, chosen by a hash of their id among those of at most ``SAMPLE_CHARS`` characters; that
+bounds what reaches the driver.  Prediction takes whole texts.
+
+Cost: the code lengths of a window of ``ORDER + 1`` bytes in all languages are kept in a direct-mapped table of bounded size, so a byte is
+a table look-up in numpy; windows that the table lacks are priced together.
 
 Cases: a text that is null or has no letters is ``und`` with score 0, and so is every text when nothing is labelled; a null id is
-never held out and never learned from; repeated rows each get a row; other columns pass through; an empty table gives no row.
+never held out and never learned from; repeated rows each get a row; other columns pass through, but those with the names of
+the added ones are replaced; an empty table gives no row.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import slices
+from lectern.llm.common import slices, without_names
 
-ORDER, SAMPLE_DOCS, SAMPLE_CHARS = 4, 200, 100_000
-WORD = re.compile(r"[^\W\d_]+")
-KEPT, KEPT_CHARS = 300_000, 40
+ORDER, SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_CHARS = 4, 200, 20_000, 100_000
+EVIDENCE = 32
+BLOCK, CELLS = 1 << 18, 1 << 22
 NONE = "und"
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(key: str) -> Column:
@@ -38,99 +42,128 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def coded(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
+
+
+def windows(data: bytes, order: int) -> np.ndarray:
+    """For every byte from the ``order``-th on, that byte and the ``order`` before it as one number."""
+    raw = np.frombuffer(data, "u1").astype("u8")
+    out = raw[order:].copy()
+    for k in range(1, order + 1):
+        out |= raw[order - k : len(raw) - k] << np.uint64(8 * k)
+    return out
+
+
 class Trees:
-    """Frozen counts of all languages: ``seen[context + byte]`` and ``total, distinct`` of each context, one entry per language."""
+    """Frozen counts of all languages.
+
+    For each order, ``grams`` are the sorted byte strings of a context and its next byte, ``seen`` their counts, one column per
+    language; ``contexts``, ``total`` and ``distinct`` the same of the contexts.
+    """
 
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
         self.langs, self.order = sorted(texts), order
-        n = len(self.langs)
-        self.seen: dict[bytes, list[int]] = {}
-        for k, lang in enumerate(self.langs):
-            words = Counter(w for t in texts[lang] for w in WORD.findall(t.lower()))
-            for word, times in words.items():
-                coded = b" " + word.encode("utf-8", "replace") + b" "
-                for at in range(1, len(coded)):
-                    for lo in range(max(0, at - order), at + 1):
-                        self.seen.setdefault(coded[lo : at + 1], [0] * n)[k] += times
-        self.total: dict[bytes, list[int]] = {}
-        self.distinct: dict[bytes, list[int]] = {}
-        for gram, counts in self.seen.items():
-            total, distinct = self.total.setdefault(gram[:-1], [0] * n), self.distinct.setdefault(gram[:-1], [0] * n)
-            for k, c in enumerate(counts):
-                total[k] += c
-                distinct[k] += c > 0
-
-    def bits(self, window: bytes) -> list[float]:
-        """Code length of the window's last byte after the bytes before it, in each language."""
-        out = []
-        for k in range(len(self.langs)):
-            cost = 0.0
-            for lo in range(len(window)):
-                total = self.total.get(window[lo:-1])
-                if total is None or not total[k]:
-                    continue  # the tree lacks this context
-                whole = total[k] + self.distinct[window[lo:-1]][k]
-                counts = self.seen.get(window[lo:])
-                if counts is not None and counts[k]:
-                    cost += math.log2(whole / counts[k])
-                    break
-                cost += math.log2(whole / self.distinct[window[lo:-1]][k])
-            else:
-                cost += 8.0
-            out.append(cost)
-        return out
+        start = b"\n" * order
+        per = [np.concatenate([np.empty(0, "u8"), *[windows(start + coded(t), order) for t in texts[lang]]]) for lang in self.langs]
+        self.grams, self.seen, self.contexts, self.total, self.distinct = [], [], [], [], []
+        for k in range(order + 1):
+            mask = np.uint64((1 << 8 * (k + 1)) - 1)
+            own = [np.unique(w & mask, return_counts=True) for w in per]
+            grams = np.unique(np.concatenate([np.empty(0, "u8"), *[g for g, _ in own]]))
+            seen = np.zeros((len(grams), len(own)), "i8")
+            for lang, (g, n) in enumerate(own):
+                seen[np.searchsorted(grams, g), lang] = n
+            contexts, of = np.unique(grams >> np.uint64(8), return_inverse=True)
+            total, distinct = np.zeros((2, len(contexts), len(own)), "i8")
+            np.add.at(total, of, seen)
+            np.add.at(distinct, of, seen > 0)
+            for table, value in ((self.grams, grams), (self.seen, seen), (self.contexts, contexts), (self.total, total), (self.distinct, distinct)):
+                table.append(value)
+
+    def bits(self, window: np.ndarray) -> np.ndarray:
+        """Code length of each window's last byte after the bytes before it: windows x languages."""
+        cost, coded_ = np.zeros((len(window), len(self.langs))), np.zeros((len(window), len(self.langs)), bool)
+
+        def rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where((keys[at] == wanted)[:, None], values[at], 0)
+
+        for k in range(self.order, -1, -1):
+            if not len(self.grams[k]):
+                continue
+            gram = window & np.uint64((1 << 8 * (k + 1)) - 1)
+            context = gram >> np.uint64(8)
+            total, distinct, count = rows(self.contexts[k], self.total[k], context), rows(self.contexts[k], self.distinct[k], context), rows(self.grams[k], self.seen[k], gram)
+            open_ = (total > 0) & ~coded_
+            hit = open_ & (count > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cost += np.where(open_, np.log2((total + distinct) / np.where(hit, count, distinct)), 0.0)
+            coded_ |= hit
+        return cost + np.where(coded_, 0.0, 8.0)
 
 
 class Coder:
-    """Code lengths of documents; keeps those of windows and short words."""
+    """Code lengths of texts, with the direct-mapped table of windows."""
 
     def __init__(self, trees: Trees):
         self.trees = trees
-        self.windows: dict[bytes, np.ndarray] = {}
-        self.words: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(trees.langs)))
-
-    def word(self, word: str) -> np.ndarray:
-        coded, order, out = b" " + word.encode("utf-8", "replace") + b" ", self.trees.order, np.zeros(len(self.trees.langs))
-        for at in range(1, len(coded)):
-            window = coded[max(0, at - order) : at + 1]
-            cost = self.windows.get(window)
-            if cost is None:
-                if len(self.windows) > KEPT:
-                    self.windows.clear()
-                cost = self.windows[window] = np.array(self.trees.bits(window))
-            out += cost
+        size = max(1, CELLS // max(1, len(trees.langs))).bit_length() - 1
+        self.shift = np.uint64(64 - size)
+        self.keys = np.full(1 << size, ~np.uint64(0))  # no window: those have 40 bits
+        self.costs = np.zeros((1 << size, len(trees.langs)))
+
+    def priced(self, window: np.ndarray) -> np.ndarray:
+        at = (window * GOLD >> self.shift).astype("i8")
+        known = self.keys[at] == window
+        if known.all():
+            return self.costs[at]
+        out = self.costs[at]
+        new, back = np.unique(window[~known], return_inverse=True)
+        bits = self.trees.bits(new)
+        out[~known] = bits[back]
+        place = (new * GOLD >> self.shift).astype("i8")
+        self.keys[place] = new
+        own = self.keys[place] == new  # of windows with one place one stays
+        self.costs[place[own]] = bits[own]
         return out
 
-    def lengths(self, words: list[str]) -> np.ndarray:
-        if len(self.words) > KEPT:
-            self.words.clear()
-        ids = list(map(self.words.get, words))
-        once: list[np.ndarray] = []
-        for k, i in enumerate(ids):
-            if i is None:
-                word = words[k]
-                i = self.words.get(word)
-                if i is None:
-                    if len(word) > KEPT_CHARS:
-                        once.append(self.word(word))
-                        ids[k] = -1
-                        continue
-                    i = self.words[word] = len(self.words)
-                    if i >= len(self.rows):
-                        self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-                    self.rows[i] = self.word(word)
-                ids[k] = i
-        at = np.array(ids, "i8")
-        return self.rows[at[at >= 0]].sum(axis=0) + (np.sum(once, axis=0) if once else 0.0)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
-        if not self.trees.langs or not any(c.isalpha() for w in words for c in w):
-            return NONE, 0.0
-        bits = self.lengths(words)
-        best = int(np.argmin(bits))
-        return self.trees.langs[best], float(1.0 / np.exp2(np.minimum(0.0, np.maximum(-1000.0, bits[best] - bits))).sum())
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Code lengths: texts x languages.  At most about ``BLOCK`` bytes are priced at a time."""
+        out, order = np.zeros((len(texts), len(self.trees.langs))), self.trees.order
+        held: list[tuple[int, bytes]] = []
+
+        def flush():
+            cost = np.vstack([self.priced(windows(b"".join(p for _, p in held), order)), np.zeros((1, out.shape[1]))])
+            at, edges = 0, []
+            for _, piece in held:
+                edges += [at, at + len(piece) - order]
+                at += len(piece)
+            np.add.at(out, [k for k, _ in held], np.add.reduceat(cost, edges, axis=0)[::2])
+            held.clear()
+
+        size = 0
+        for k, text in enumerate(texts):
+            whole = b"\n" * order + text
+            for lo in range(0, len(text), BLOCK):
+                held.append((k, whole[lo : lo + BLOCK + order]))
+                size += len(held[-1][1])
+                if size >= BLOCK:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        known = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.trees.langs else []
+        out = [(NONE, 0.0)] * len(texts)
+        raw = [coded(texts[k]) for k in known]
+        for k, data, bits in zip(known, raw, self.lengths(raw), strict=True):
+            best = int(np.argmin(bits))
+            more = np.minimum(1000.0, (bits - bits[best]) * min(1.0, EVIDENCE / len(data)))
+            out[k] = (self.trees.langs[best], float(1.0 / np.exp2(-more).sum()))
+        return out
 
 
 _coders: dict[int, Coder] = {}
@@ -138,14 +171,14 @@ _coders: dict[int, Coder] = {}
 
 def learn(df: DataFrame, key: str, text: str, lang: str) -> Trees:
     """Trees from documents that are labelled and not held out."""
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     rows = rows.where(F.length("t") <= SAMPLE_CHARS)
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(SAMPLE_ALL).collect()}
     if not sizes:
         return Trees({})
-    slots = 1 << 30
-    keep = F.create_map(*[F.lit(v) for lang_, n in sorted(sizes.items()) for v in (lang_, min(slots, -(-slots * SAMPLE_DOCS // n)))])
-    got = rows.where(F.pmod(F.xxhash64("k"), F.lit(slots)) < keep[F.col("l")]).select("l", "t").limit(2 * SAMPLE_DOCS * len(sizes)).collect()
+    each, slots = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(sizes))), 1 << 30
+    keep = F.create_map(*[F.lit(v) for lang_, n in sorted(sizes.items()) for v in (lang_, min(slots, -(-slots * each // n)))])
+    got = rows.where(F.pmod(F.xxhash64("k"), F.lit(slots)) < keep[F.col("l")]).select("l", "t").limit(2 * each * len(sizes)).collect()
     texts: dict[str, list[str]] = {}
     for r in got:
         texts.setdefault(r["l"], []).append(r["t"])
@@ -155,6 +188,7 @@ def learn(df: DataFrame, key: str, text: str, lang: str) -> Trees:
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", pred: str = "lang_pred", score: str = "score", trees: Trees | None = None) -> DataFrame:
     """The input's rows with predicted language and score as two more columns."""
     trees = trees or learn(df, key, text, lang)
+    df = without_names(df, pred, score)
     sent = df.sparkSession.sparkContext.broadcast(trees)
     at, names = df.columns.index(text), [*df.columns, pred, score]
     number = id(trees)
@@ -166,8 +200,8 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             _coders.clear()
             coder = _coders[number] = Coder(model)
         for batch in batches:
-            for part in slices(batch):
-                got = [coder.predict(t) for t in part.column(at).to_pylist()]
+            for part in slices(batch, 2048, 1 << 20):
+                got = coder.predict(part.column(at).to_pylist())
                 yield pa.record_batch([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))

@@ -4,6 +4,7 @@ import glob
 import hashlib
 import os
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -50,6 +51,18 @@ def test_archive_form(archive):
     assert seen[100][0][0] == "http://x/%0D%0AWARC-Type: fake"
 
 
+@pytest.mark.parametrize("records", [1, 2, 12, 400])
+def test_dictionaries_are_in_zstandards_format(records):
+    some = [op2_warc.record(k, f"http://a/{k}", b"<p>%d</p>" % k * 9, 9, "ab" * 20, None, "2000-01-01T00:00:00Z") for k in range(records)]
+    raw = op2_warc.train(some).as_bytes()
+    assert raw[:4] == bytes.fromhex("37a430ec")
+
+
+def test_no_pages(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert op2_warc.read_archives(op2_warc.write_archives(Workspace(spark, "t2e"), empty)).count() == 0
+
+
 @pytest.mark.parametrize("key", [0, 1, -1, 2**63 - 1, -(2**63), None, 123456789])
 def test_record_ids(key):
     assert op2_warc.key_of(op2_warc.record_id(key, "ab" * 20)) == key
@@ -74,13 +87,49 @@ def test_language_cases(spark):
     assert op5_language.identify(df.where("false")).count() == 0
 
 
-def test_code_lengths_against_definition():
-    trees = op5_language.Trees({"a": ["aba abb"], "b": ["ccc"]}, order=2)
-    # after " a" in language a: two b; one context, one symbol: 2 of 3
-    assert trees.bits(b" ab")[0] == pytest.approx(np.log2(3 / 2))
-    # order 2 unseen in b, order 1 unseen, order 0: escape (1 - counts of c and blank), then 8 bits
-    assert trees.bits(b" ab")[1] > 8
-    assert op5_language.Coder(trees).lengths(["ab", "ab"])[0] == pytest.approx(2 * op5_language.Coder(trees).word("ab")[0])
+def naive_length(learned: list[str], text: str, order: int) -> float:
+    """Code length by the definition, context by context."""
+    counts: dict[bytes, Counter] = {}
+    for t in learned:
+        data = b"\n" * order + t.encode()
+        for at in range(order, len(data)):
+            for k in range(order + 1):
+                counts.setdefault(data[at - k : at], Counter())[data[at]] += 1
+    data, bits = b"\n" * order + text.encode(), 0.0
+    for at in range(order, len(data)):
+        for k in range(order, -1, -1):
+            seen = counts.get(data[at - k : at])
+            if not seen:
+                continue
+            whole = sum(seen.values()) + len(seen)
+            if seen[data[at]]:
+                bits += np.log2(whole / seen[data[at]])
+                break
+            bits += np.log2(whole / len(seen))
+        else:
+            bits += 8
+    return bits
+
+
+@pytest.mark.parametrize(("order", "block"), [(2, 1 << 18), (4, 1 << 18), (4, 7)])
+def test_code_lengths_against_definition(monkeypatch, order, block):
+    monkeypatch.setattr(op5_language, "BLOCK", block)
+    monkeypatch.setattr(op5_language, "CELLS", 64)  # so that windows share places
+    texts = {"a": ["aba abb, Ab. 12", "été\nbaba"], "b": ["ccc ab", "Zürich!"], "c": [""]}
+    asked = ["aba", "x", "été abb ccc\n12 Zü", "日本 aba", "b" * 40]
+    coder = op5_language.Coder(op5_language.Trees(texts, order=order))
+    for _ in range(2):
+        got = coder.lengths([t.encode() for t in asked])
+        want = [[naive_length(texts[lang], t, order) for lang in sorted(texts)] for t in asked]
+        assert np.allclose(got, want)
+
+
+def test_language_columns_and_repeats(spark):
+    rows = [(k % 5, "the cat and the dog" if k % 2 else "le chat et le chien", "en" if k % 2 else "fr", "old", "own") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, SCORE string, lang_pred string")
+    got = op5_language.identify(df)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and got.count() == 30
+    assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in got.collect())
 
 
 def test_urls_against_brute_force(spark, sf_dir):
@@ -134,6 +183,28 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_keeps_what_no_stage_should_drop(spark, sf_dir):
+    """Rows that share an id but not their text, repeated rows, null ids, clashing names, against a reading of the rules by hand."""
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"word{rng.integers(0, 5000)}" for _ in range(n))
+    a, b, c, d = (text(80) for _ in range(4))
+    near = a.replace(a.split()[40], "other")
+    rows = [(1, a), (1, b), (2, near), (3, c), (3, c), (None, d), (None, c), (4, d), (5, "two words"), (6, ""), (7, None)]
+    names = "row string, component string, pred string, score double, removed string, id string, first string, again string"
+    df = spark.createDataFrame([(k, t, "en", len(t or ""), *["x"] * 3, 0.5, *["y"] * 4) for k, t in rows], f"doc_id long, text string, lang string, n_chars long, {names}")
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["minhash_near_dedup"](spark, df, sf_dir)
+    assert out.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (3, c), (4, d), (5, "two words"), (6, ""), (7, None)], key=str)
+    for name in ("language_id", "substring_dedup"):
+        out = stages[name](spark, df, sf_dir)
+        assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert {r.doc_id for r in stages["language_id"](spark, df, sf_dir).collect()} == {1, 2, 3, 4, 5, None}
+    for stage in stages.values():
+        assert stage(spark, df.where("false"), sf_dir).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(q.SQL))
 def test_sql_twins(spark, sf_dir, name):
     con = duckdb.connect()
