@@ -5,13 +5,15 @@ half-key of the first and one of the second is the key of a table.  So ``HALVES*
 ``2 * HALVES * ROWS`` minhashes.  At similarity J a pair meets in some table with probability
 ``(1 - (1 - J**ROWS)**HALVES)**2``: 0.9985 at 0.8, 0.99999 at 0.9.  Every link is confirmed on the full shingle sets.
 
-Documents with equal sets are one class.  In a bucket, members are ranked by how many other members their buckets hold in
-all, so that the middle of a group of copies comes first; a bucket's first member leads it.  All members of the buckets with
-one leader are a family, which holds every candidate pair of those buckets.  A family is dealt out in chunks of about ``CHUNK``
-members, each with the leader, and a task compares all pairs of a chunk at once: with R the leader's set and E_x the symmetric difference of
+A shingle is its 64-bit hash: two different shingles of one pair of documents count as one with probability 2**-64 for each
+pair of them.  Documents with equal sets are one class.  The member whose buckets hold most other members, the middle of a group
+of copies, leads a bucket.  All members of the buckets with one leader are a family, which holds every candidate pair of those buckets.
+A family is dealt out in chunks of about ``CHUNK`` members and ``SHINGLES`` shingles at most, each with the leader, and a task compares
+all pairs of a chunk at once: with R the leader's set and E_x the symmetric difference of
 x and R, ``|x ^ y| = |E_x| + |E_y| - 2 |E_x & E_y|``, and the last term is a product of small 0/1 matrices.  In families of several chunks,
 members that are not in their leader's component are then compared with all other members, again in chunks.  So no link between
-candidates is given up, no pair becomes a row, and no task holds a group.
+candidates is given up, no pair becomes a row, and no task holds a group.  Buckets and their leaders come from aggregates that are
+made on the map side first and joined back, so a hot key is never sorted in one task.
 
 Cases: null or blank texts have an empty set and link with nothing; texts of fewer words than a shingle are one shingle; repeated
 rows of an id are one document and each gets a row; a null id links with nothing and has a null component;
@@ -25,13 +27,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Workspace, components, n_parts, slices
 from lectern.llm.op9_itq import smallest
 
 HALVES, ROWS, CHUNK = 10, 3, 1024
+SHINGLES = 1 << 21
 WORDS_KEPT = 300_000
 GOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -187,7 +190,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(halves, pa.binary())], names=["doc_id", "n", "fp", "halves"])
 
     signed = ws.save(docs.mapInArrow(signature, "doc_id long, n long, fp binary, halves binary"), "signed")
-    classes = ws.save(signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("halves").alias("halves")), "classes")
+    classes = ws.save(signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves")), "classes")
 
     def keyed(batches):
         for batch in batches:
@@ -195,18 +198,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
                 keys = table_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), "u8").reshape(part.num_rows, -1))
                 yield pa.record_batch([pa.array(keys.ravel().view("i8")), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "id"])
 
-    entries = classes.select("id", "halves").mapInArrow(keyed, "key long, id long")
-    met = ws.save(entries.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "id"), "met")
+    entries = classes.select("id", "halves").mapInArrow(keyed, "key long, id long")  # cheaper to make twice than to keep
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = ws.save(entries.join(shared.hint("merge"), "key"), "met")
     # buckets of the same members in several tables count once
     prints = met.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("s"))
     once = ws.save(prints.groupBy("c", "x", "s").agg(F.min("key").alias("key")).select("key", "c"), "once")
-    bucketed = ws.save(met.join(once, "key"), "bucketed")
-    score = bucketed.groupBy("id").agg(F.sum("c").alias("score"))
-    weighed = ws.save(score, "weighed")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))
-    ranked = ws.save(bucketed.select("key", "id").distinct().join(weighed, "id").withColumn("rank", rank).select("key", "id", "rank"), "ranked")
-    ws.drop("met", "once", "bucketed")
-    texts = ws.save(docs.join(weighed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    bucketed = ws.save(met.join(once.hint("merge"), "key"), "bucketed")
+    weighed = ws.save(bucketed.groupBy("id").agg(F.sum("c").alias("score")).join(classes.groupBy("id").agg(F.max("n").alias("n")).hint("merge"), "id"), "weighed")
+    scored = bucketed.select("key", "id").join(weighed.hint("merge"), "id")
+    lead = ws.save(scored.groupBy("key").agg(F.min(F.struct(-F.col("score"), "id")).alias("first")).select("key", F.col("first.id").alias("lead")), "lead")
+    ws.drop("met", "once")
+    texts = ws.save(docs.join(weighed.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
 
     def cells(batches, keys: int, work):
         for table in grouped(batches, keys):
@@ -225,23 +228,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         return rows.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
 
     parts = n_parts(df.sparkSession)
-    lead = ranked.where("rank = 1").select("key", F.col("id").alias("lead"))
-    family = ranked.select("key", "id").join(lead, "key").select("lead", "id").distinct()
-    family = ws.save(family, "family")
-    counts = ws.save(family.groupBy("lead").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "counts")
-    placed = family.join(counts, "lead")
+    family = bucketed.select("key", "id").join(lead.hint("merge"), "key").select("lead", "id").distinct()
+    family = ws.save(family.join(weighed.select("id", "n").hint("merge"), "id"), "family")
+    ws.drop("bucketed", "lead")
+
+    def shares() -> Column:
+        """Chunks that keep a group of rows under both bounds."""
+        return F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+
+    counts = ws.save(family.groupBy("lead").agg(shares().alias("chunks")), "counts")
+    placed = family.join(counts.hint("merge"), "lead")
     own = F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "chunks").cast("int")))
     chunked = with_text(placed.select("lead", F.explode(own).alias("chunk"), "id")).select("lead", "chunk", "id", "text")
     edges = chunked.repartition(parts, "lead", "chunk").sortWithinPartitions("lead", "chunk").mapInArrow(within, "a long, b long")
     edges = ws.save(edges, "edges")
     roots = components(ws, edges, "cc-0")
     # families of several chunks: members outside their leader's component against all others
-    wide = placed.where("chunks > 1").join(roots, "id", "left").select("lead", "id", "chunks", F.coalesce("root", "id").alias("root"))
+    wide = placed.where("chunks > 1").join(roots.hint("merge"), "id", "left").select("lead", "id", "n", "chunks", F.coalesce("root", "id").alias("root"))
     wide = ws.save(wide, "wide")
     heads = wide.where("id = lead").select("lead", F.col("root").alias("head"))
-    loose = ws.save(wide.join(heads, "lead").where("root <> head").select("lead", "id"), "loose")
+    loose = ws.save(wide.join(heads, "lead").where("root <> head").select("lead", "id", "n"), "loose")
     if loose.head(1):
-        blocks = loose.groupBy("lead").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
+        blocks = loose.groupBy("lead").agg(shares().alias("blocks"))
         blocks = ws.save(blocks.join(counts, "lead"), "blocks")
         at = F.pmod(F.xxhash64("id"), "blocks").cast("int")
         left = loose.join(blocks, "lead").select("lead", at.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(0).alias("side"), "id")
@@ -251,8 +259,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         more = ws.save(more, "more")
         if more.head(1):
             roots = components(ws, edges.unionByName(more), "cc-1")
-    rooted = ws.save(classes.select("fp", "id").join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("root")), "rooted")
-    linked = signed.where("fp is not null and doc_id is not null").select("doc_id", "n", "fp").join(rooted, "fp").select("doc_id", "n", "root")
+    rooted = ws.save(classes.select("fp", "id").join(roots.hint("merge"), "id", "left").select("fp", F.coalesce("root", "id").alias("root")), "rooted")
+    linked = signed.where("fp is not null and doc_id is not null").select("doc_id", "n", "fp").join(rooted.hint("merge"), "fp").select("doc_id", "n", "root")
     alone = signed.where("fp is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("root"))
     both = linked.unionByName(alone)
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("root"), F.lit(False)).alias("kept"))
