@@ -10,10 +10,12 @@ range and table.  Candidates are merged and ranked by the exact inner product.
 neighbour has is estimated on a bounded sample, by the rank that corresponds to it there.  A range of at most ``FEW`` rows is
 one bucket that all queries visit.
 
-Buckets are grouped into cells.  A cell over ``CELL`` rows is split by a hash of the row, queries visit every part, and
-queries are dealt out in blocks of ``QUERY_BLOCK``, so a hot bucket never meets in one task and no candidate pair
-becomes a row: a cell returns at most ``k`` rows per query.  Queries with fewer than ``k`` candidates are completed by an
-exact search over all rows, in the same cells.
+Buckets are grouped into cells.  A cell over ``CELL`` rows is split by a hash of the row, and queries are sent to every part of the
+cells that they visit.  A task sorts a part's rows by bucket, holds them and lets its queries stream past; a query is multiplied with
+the rows of the buckets that it visits and with no others.  Only a part that over ``QUERY_BLOCK`` queries visit is copied, once for each
+such block.  So a hot bucket never meets in one task and no candidate pair becomes a row: a part returns at most ``k`` rows per
+query.  Queries with fewer than ``k`` candidates are completed by an exact search over all rows, in the same cells.
+Where the vectors have several dimensions, each dimension is a search of its own: across them there is no inner product.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; ties go to
 the smaller id; rows that repeat an id count as one candidate (the nearest); other columns are ignored; an empty
@@ -22,20 +24,22 @@ table or one without queries gives no row.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import vectors
-from lectern.llm.common import Workspace
+from lectern.llm.common import Workspace, n_parts
 
 TABLES, HASHES, WIDTH, COVER = 2, 4, 1.0, 0.85
 REACH = 6  # slots on either side of zero; the outermost ones are open
-CELL, QUERY_BLOCK, SAMPLE = 16_384, 4_096, 2_000
+CELL, QUERY_BLOCK, SAMPLE = 16_384, 65_536, 2_000
 RANGES, FEW = 24, 512
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -121,16 +125,55 @@ def best(ids: np.ndarray, x: np.ndarray, qid: int, q: np.ndarray, rough: np.ndar
     return ids[at][order], score[order]
 
 
+class Part:
+    """The rows of one part of a cell, sorted by bucket."""
+
+    def __init__(self, ids: np.ndarray, bucket: np.ndarray, x: np.ndarray):
+        order = np.argsort(bucket, kind="stable")
+        self.ids, self.x = ids[order], x[order]
+        self.buckets, starts = np.unique(bucket[order], return_index=True)
+        self.edges = np.append(starts, len(order))
+
+    def nearest(self, qids: np.ndarray, q: np.ndarray, visited: pa.ListArray, k: int):
+        """``(query ids, row ids, scores)`` of each query's k nearest among the rows of its buckets, of all rows where it has no list."""
+        n = len(self.ids)
+        step = max(1, (1 << 22) // n)
+        for lo in range(0, len(qids), step):
+            block, lists = q[lo : lo + step], visited.slice(lo, step)
+            rough = np.full((len(block), n), -np.inf)
+            every = lists.is_null().to_numpy(zero_copy_only=False)
+            if every.any():
+                rough[every] = block[every] @ self.x.T
+            who = np.repeat(np.arange(len(block)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            wanted = np.asarray(lists.flatten(), "i8")
+            at = np.minimum(np.searchsorted(self.buckets, wanted), len(self.buckets) - 1)
+            here = self.buckets[at] == wanted
+            who, at = who[here], at[here]
+            order = np.argsort(at, kind="stable")
+            who, at = who[order], at[order]
+            cuts = np.append(np.unique(at, return_index=True)[1], len(at)).tolist()
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                first, last = self.edges[at[i]], self.edges[at[i] + 1]
+                rough[who[i:j], first:last] = block[who[i:j]] @ self.x[first:last].T
+            for i, row in enumerate(rough):
+                got, score = best(self.ids, self.x, qids[lo + i], block[i], row, k)
+                if len(got):
+                    yield np.full(len(got), qids[lo + i]), got, score
+
+
 def search(df: DataFrame, key: str = "vec_id", col: str = "embedding", every: int = 20, k: int = 20, cover: float = COVER) -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)`` for queries whose id is divisible by ``every``."""
-    spark = df.sparkSession
-    ws = Workspace(spark, "op8")
-    rows, dim = vectors.load(df.where(F.col(key).isNotNull()), key, col)
-    if not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    usable = df.where(F.col(key).isNotNull() & vectors.usable(col))
+    none = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, [_of_dimension(usable.where(F.size(col) == dim), key, col, dim, every, k, cover) for dim in vectors.dimensions(usable, col)] or [none])
+
+
+def _of_dimension(df: DataFrame, key: str, col: str, dim: int, every: int, k: int, cover: float) -> DataFrame:
+    ws = Workspace(df.sparkSession, "op8")
+    rows = vectors.rows(df, key, col)
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     norm2 = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
-    total, n_queries, top = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(norm2)).first()
+    total, top = rows.agg(F.count_distinct("vec_id"), F.max(norm2)).first()
     low = F.when(norm2 > top / 2 ** (RANGES - 1), F.floor(F.log2(F.lit(top) / norm2))).otherwise(RANGES - 1).cast("int")
     rows = rows.withColumn("range", low)
     ranges = {r["range"]: (r["n"], float(np.sqrt(r["top"])) * (1 + 1e-12)) for r in rows.groupBy("range").agg(F.count("*").alias("n"), F.max(norm2).alias("top")).collect()}
@@ -141,7 +184,6 @@ def search(df: DataFrame, key: str = "vec_id", col: str = "embedding", every: in
     hashes = {j: Hashes(dim, norm, least / norm, norms[place == order_of[j]], cover) for j, (n, norm) in ranges.items() if n > FEW}
     serial = count()
     groups = {j: max(1, n // CELL) for j, (n, _) in ranges.items()}
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
     small = np.zeros(1, "i8")
 
     def group_of(bucket: np.ndarray, j: int) -> np.ndarray:
@@ -170,32 +212,45 @@ def search(df: DataFrame, key: str = "vec_id", col: str = "embedding", every: in
             for lo in range(0, len(out), 4096):
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out[lo : lo + 4096], strict=True), kinds, strict=True)], names=["t", "g", "query_id", "visited", "q"])
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Nearest candidates in one cell; a query without a bucket list visits all rows."""
-        if not left.num_rows or not right.num_rows:
-            return FOUND.empty_table()
-        ids, x = left["vec_id"].to_numpy(), vectors.block(left["vec"], dim)
-        names, inverse = np.unique(left["bucket"].to_numpy(), return_inverse=True)
-        qids, q, visited = right["query_id"].to_numpy(), vectors.block(right["q"], dim), right["visited"].to_pylist()
-        out = []
-        step = max(1, (1 << 22) // len(ids))
-        for lo in range(0, len(qids), step):
-            rough = q[lo : lo + step] @ x.T
-            for i, v in enumerate(visited[lo : lo + step]):
-                if v is not None:
-                    rough[i, ~np.isin(names, v)[inverse]] = -np.inf
-                got, score = best(ids, x, qids[lo + i], q[lo + i], rough[i], k)
-                out.append((np.full(len(got), qids[lo + i]), got, score))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=FOUND)
+    def meet(batches):
+        """Rows of a part come first, then its queries."""
+        held, at, part = [], None, None
+
+        def found(out):
+            return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=FOUND)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(5)], axis=1)
+            cuts = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                *cell, side = keys[lo].tolist()
+                run = batch.slice(lo, hi - lo)
+                if cell != at:
+                    held, at, part = [], cell, None
+                if not side:
+                    held.append(run)
+                    continue
+                if part is None and held:
+                    table = pa.Table.from_batches(held)
+                    part, held = Part(table["id"].to_numpy(), table["bucket"].to_numpy(), vectors.block(table["vec"], dim)), []
+                if part is not None:
+                    out = list(part.nearest(run["id"].to_numpy(), vectors.block(run["vec"], dim), run["visited"], k))
+                    if out:
+                        yield found(out)
 
     def in_cells(indexed: DataFrame, probes: DataFrame) -> DataFrame:
-        sizes = ws.save(indexed.groupBy("t", "g").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), f"sizes-{next(serial)}")
-        blocks = F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
-        left = indexed.join(sizes, ["t", "g"]).select("t", "g", "bucket", "vec_id", "vec", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-        right = probes.join(sizes, ["t", "g"]).select("t", "g", "query_id", "visited", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), blocks.alias("qb"))
+        probes = ws.save(probes, f"probes-{(no := next(serial))}")
+        visits = probes.groupBy("t", "g").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+        sizes = indexed.groupBy("t", "g").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")).join(visits, ["t", "g"])
+        sizes = ws.save(sizes, f"sizes-{no}")
+        block = F.pmod(F.xxhash64("query_id"), "blocks").cast("int")
+        left = indexed.join(sizes, ["t", "g"]).select("t", "g", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qb"), F.lit(0).alias("side"), F.col("vec_id").alias("id"), "bucket", "vec", F.lit(None).cast("array<long>").alias("visited"))
+        right = probes.join(sizes, ["t", "g"]).select("t", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block.alias("qb"), F.lit(1).alias("side"), F.col("query_id").alias("id"), F.lit(0).cast("long").alias("bucket"), F.col("q").alias("vec"), "visited")
         on = ["t", "g", "part", "qb"]
-        found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(cell, "query_id long, vec_id long, score double")
-        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        dealt = left.unionByName(right).repartition(n_parts(df.sparkSession), *on).sortWithinPartitions(*on, "side")
+        return dealt.mapInArrow(meet, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     indexed = rows.mapInArrow(index, "t int, g long, bucket long, vec_id long, vec array<double>")
     queries = rows.where(is_query)

@@ -1,26 +1,30 @@
 """Operator 9: embedding near-duplicates through iterative quantisation and multi-index Hamming tables.
 
 A rotation that balances binary codes is learned (Gong and Lazebnik, 2011) on a bounded sample; a vector's code is the
-signs of its centred, rotated unit vector.  The code is cut into substrings of ``SUBSTRING`` bits, each of which keys a
-table; vectors that share a substring are candidates, and the exact cosine of the original vectors decides.
+signs of its centred, rotated unit vector.  The code is cut into substrings, each of which keys a table; vectors that share a
+substring are candidates, and the exact cosine of the original vectors decides.  A substring has ``SUBSTRING`` bits, or with
+more vectors so many that a mean bucket holds ``BLOCK`` of them, so that the candidates of a vector grow with the number of tables and not
+with the number of vectors.
 
 One rotation gives few tables, and a pair of the least cosine may share none of them, the more so in few dimensions or
 where all vectors share a direction.  So rotations from other starts are added until, of sampled vectors turned towards
 other ones to exactly that cosine, ``RECALL`` share a substring with their origin.  Where that takes more
 copies of a vector than comparing all blocks of vectors with each other, all pairs are compared instead.
+Where the vectors have several dimensions, each dimension is a search of its own: across them there is no cosine.
 
 Equal vectors are one weighted class.  A table bucket of over ``BLOCK`` classes is cut into blocks and handled as
 pairs of blocks, each a task's work of its own.  A cell returns one row per linked class: the weight of
 its partners that no earlier table has (so that none counts twice) and the smallest class that it reaches in the cell.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their
-own component; rows of equal vectors link with each other; null ids are kept with null component and without links; other columns
+own component; vectors of other dimensions are no pair; rows of equal vectors link with each other; null ids are kept with null component and without links; other columns
 are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from lectern.llm import vectors
 from lectern.llm.common import Workspace, components
 
 SUBSTRING, MAX_BITS, BLOCK, SAMPLE, ROUNDS = 8, 64, 1_024, 4_000, 30
-RECALL, MOST = 0.995, 128  # MOST tables compare as many pairs as there are
+WIDEST, RECALL, MOST = 24, 0.995, 1024
 CLASS = "fp binary, vec_id long, vec array<double>"
 LINK = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
@@ -53,9 +57,10 @@ class Codes:
     ``bits`` is 0 where that is not enough.
     """
 
-    def __init__(self, x: np.ndarray, cosine: float, most: int = MOST, seed: int = 9):
+    def __init__(self, x: np.ndarray, cosine: float, most: int = MOST, width: int = SUBSTRING, seed: int = 9):
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
         self.bits = min(MAX_BITS, x.shape[1])
+        self.width = min(width, self.bits)
         self.mean = u.mean(axis=0)
         v = u - self.mean
         _, vectors_ = np.linalg.eigh(v.T @ v)
@@ -67,7 +72,7 @@ class Codes:
         met = np.zeros(len(pairs[0]), bool)
         while self.recall < RECALL:
             self.maps.append(axes @ self.rotation(p, seed + len(self.maps)))
-            self.tables += -(-self.bits // SUBSTRING)
+            self.tables += -(-self.bits // self.width)
             if self.tables > most:
                 self.bits, self.tables, self.maps, self.recall = 0, 1, [], 1.0
                 return
@@ -82,12 +87,15 @@ class Codes:
         return r
 
     def code(self, u: np.ndarray, by: np.ndarray) -> np.ndarray:
-        return np.packbits((u - self.mean) @ by >= 0, axis=1)
+        """A rotation's substrings as numbers; the last one ends with the code and may share bits with the one before it."""
+        bits = (u - self.mean) @ by >= 0
+        starts = [min(k, self.bits - self.width) for k in range(0, self.bits, self.width)]
+        return np.stack([bits[:, k : k + self.width] @ (1 << np.arange(self.width)) for k in starts], axis=1).astype("<u4")
 
-    def bytes(self, x: np.ndarray) -> np.ndarray:
-        """Codes as bytes, one per table; all zero in the only table where all pairs are compared."""
+    def substrings(self, x: np.ndarray) -> np.ndarray:
+        """Codes as numbers, one per table; all zero in the only table where all pairs are compared."""
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
-        return np.hstack([self.code(u, by) for by in self.maps]) if self.maps else np.zeros((len(x), 1), "u1")
+        return np.hstack([self.code(u, by) for by in self.maps]) if self.maps else np.zeros((len(x), 1), "<u4")
 
 
 def smallest(adjacent: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -126,12 +134,16 @@ def link_cell(table: int, ids, weights, x, codes, side, across: bool, threshold:
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """Rows ``(vec_id, n_links, component_id, kept)``, one per row of the input."""
-    spark = df.sparkSession
-    ws = Workspace(spark, "op9")
-    every = df.select(F.col(key).cast("long").alias("vec_id"))
-    rows, dim = vectors.load(df.where(F.col(key).isNotNull()), key, col)
-    if not dim:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    usable = F.col(key).isNotNull() & vectors.usable(col)
+    parts = [_of_dimension(df.where(usable & (F.size(col) == dim)), key, col, dim, threshold) for dim in vectors.dimensions(df.where(usable), col)]
+    rest = df.where(~F.coalesce(usable, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"))
+    return reduce(DataFrame.unionByName, parts, rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _of_dimension(df: DataFrame, key: str, col: str, dim: int, threshold: float) -> DataFrame:
+    """Rows ``(vec_id, n_links, component_id)`` of usable vectors of one dimension."""
+    ws = Workspace(df.sparkSession, "op9")
+    rows = vectors.rows(df, key, col)
 
     def fingerprint(batches):
         for batch in batches:
@@ -142,14 +154,16 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", col: str = "embedding",
     members = ws.save(rows.mapInArrow(fingerprint, CLASS), "members")
     classes = ws.save(members.groupBy("fp").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vec").alias("vec")), "classes")
     learned = vectors.sample(classes.select("vec"), SAMPLE)
-    codes = Codes(learned if len(learned) else np.array([classes.first()["vec"]]), threshold, min(MOST, -(-classes.count() // BLOCK)))
+    n = classes.count()
+    width = min(WIDEST, max(SUBSTRING, round(np.log2(max(1, n / BLOCK)))))
+    codes = Codes(learned if len(learned) else np.array([classes.first()["vec"]]), threshold, min(MOST, -(-n // BLOCK)), width)
     tables = codes.tables
     kind = "float" if dict(df.dtypes)[col] == "array<float>" else "double"  # the index holds vectors as wide as they came
 
     def keyed(batches):
         for batch in batches:
             ids, weights = batch.column(0), batch.column(1)
-            c = codes.bytes(vectors.block(batch.column(2), dim))
+            c = codes.substrings(vectors.block(batch.column(2), dim))
             vecs = batch.column(2).cast(pa.list_(pa.float32() if kind == "float" else pa.float64()))
             packed = pa.array([row.tobytes() for row in c], pa.binary())
             for t in range(tables):
@@ -162,7 +176,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", col: str = "embedding",
     cells = placed.select("t", "sub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "weight", "code", "vec")
 
     def cell(table: pa.Table) -> pa.Table:
-        code = np.frombuffer(b"".join(table["code"].to_pylist()), "u1").reshape(table.num_rows, -1)
+        code = np.frombuffer(b"".join(table["code"].to_pylist()), "<u4").reshape(table.num_rows, -1)
         got = link_cell(table["t"][0].as_py(), table["id"].to_numpy(), table["weight"].to_numpy(), vectors.block(table["vec"], dim), code, table["side"].to_numpy(), table["i"][0].as_py() != table["j"][0].as_py(), threshold)
         return pa.table([pa.array(c) for c in got], schema=LINK)
 
@@ -171,9 +185,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", col: str = "embedding",
     roots = components(ws, found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     groups = classes.select("fp", "id", "weight").join(links, "id", "left").join(roots, "id", "left").select("fp", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("root", "id").alias("root"))
     groups = ws.save(groups, "groups")
-    out = members.select("vec_id", "fp").join(groups, "fp").select("vec_id", F.col("n").alias("n_links"), F.col("root").alias("component_id"))
-    rest = df.where(F.col(key).isNull() | ~F.coalesce(vectors.usable(col), F.lit(False)) | (F.size(col) != dim)).select(F.col(key).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return members.select("vec_id", "fp").join(groups, "fp").select("vec_id", F.col("n").alias("n_links"), F.col("root").alias("component_id"))
 
 
 SQL = """

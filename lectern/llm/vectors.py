@@ -15,15 +15,14 @@ def usable(col: str) -> Column:
     return c.isNotNull() & (F.size(c) > 0) & ~odd & F.exists(c, lambda x: x != 0)
 
 
-def load(df: DataFrame, key: str, col: str) -> tuple[DataFrame, int]:
-    """Rows ``(vec_id, vec)`` of usable vectors as doubles, and their dimension.
-
-    Vectors of another dimension than the most frequent one (the larger, at a tie) take no part.
-    """
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(col).cast("array<double>").alias("vec")).where(usable("vec"))
-    top = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dim = top["d"] if top else 0
-    return rows.where(F.size("vec") == dim), dim
+def dimensions(df: DataFrame, col: str) -> list[int]:
+    """The dimensions that a table's usable vectors have, ascending; each is searched on its own, so there should be few."""
+    return sorted(r["d"] for r in df.select(F.size(col).alias("d")).distinct().collect())
+
+
+def rows(df: DataFrame, key: str, col: str) -> DataFrame:
+    """Rows ``(vec_id, vec)`` with vectors as doubles."""
+    return df.select(F.col(key).cast("long").alias("vec_id"), F.col(col).cast("array<double>").alias("vec"))
 
 
 def sample(rows: DataFrame, n: int) -> np.ndarray:

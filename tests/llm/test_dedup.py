@@ -55,6 +55,21 @@ def test_near_duplicates(spark, monkeypatch, size, chunk):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.component_id == r.doc_id)
 
 
+@pytest.mark.parametrize("shingles", [1 << 21, 300])
+def test_one_hot_group(spark, monkeypatch, shingles):
+    """A third of all rows near copies of one text, some of them far from its middle, in chunks of few shingles."""
+    monkeypatch.setattr(op4_minhash, "SHINGLES", shingles)
+    rng = random.Random(2)
+    base = [f"h{k}" for k in range(60)]
+    texts = [" ".join("z" + str(rng.random()) if rng.random() < 0.03 * (k % 3) else w for w in base) for k in range(120)]
+    texts += [" ".join(rng.choice(VOCAB) for _ in range(40)) for _ in range(240)]
+    sets = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} for w in (t.split() for t in texts)]
+    linked = np.array([[100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets])
+    np.fill_diagonal(linked, False)
+    got = {r.doc_id: r.component_id for r in op4_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=2).collect()}
+    assert [got[k] for k in range(len(texts))] == op9_itq.smallest(linked, np.arange(len(texts))).tolist()
+
+
 def test_linked_pairs_are_exact():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 1 << 60, 300, dtype="u8"))
@@ -94,6 +109,53 @@ def test_spans_against_brute_force(spark):
     assert next(r for r in got if r.doc_id == 2).removed_chars == 0
 
 
+def test_spans_against_own_reading(spark):
+    """All runs of plain lower-case sentences, tried one by one, without the operator's code."""
+    rng = random.Random(9)
+    sentence = lambda: " ".join(rng.choice("alpha beta gamma delta kappa omega sigma".split()) + str(rng.randrange(900)) for _ in range(rng.randrange(2, 14))) + "."
+    shared = [[sentence() for _ in range(n)] for n in (1, 2, 3, 5, 9)]
+    docs = []
+    for _ in range(40):
+        body = [[sentence() for _ in range(rng.randrange(1, 5))], rng.choice(shared), [sentence()], rng.choice(shared), [sentence()]]
+        docs.append([s for part in body for s in part])
+    size = lambda run: sum(len(s.split()) for s in run)
+
+    def large(run):
+        return size(run) >= 32 or (size(run) >= 16 and len(run) >= 2)
+
+    def runs(doc):
+        for i in range(len(doc)):
+            for j in range(i + 1, len(doc) + 1):
+                run = doc[i:j]
+                # least runs: no longer ones than needed from their start or to their end
+                if large(run) and (not large(run[:-1]) or not large(run[1:])):
+                    yield i, j, tuple(run)
+
+    first = {}
+    for k, doc in enumerate(docs):
+        for i, _, run in runs(doc):
+            first.setdefault(run, (k, i))
+    want = {}
+    for k, doc in enumerate(docs):
+        gone = {x for i, j, run in runs(doc) if first[run] != (k, i) for x in range(i, j)}
+        want[k] = [s for x, s in enumerate(doc) if x not in gone]
+    assert 0 < sum(len(docs[k]) - len(want[k]) for k in want)
+    got = op7_spans.remove_repeats(spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text.split() for r in got} == {k: " ".join(w).split() for k, w in want.items()}
+
+
+def test_spans_columns_and_repeats(spark):
+    body = " ".join(f"Sentence number {k} of a text stands here." for k in range(12))
+    rows = [(7, body, "a"), (7, "Other words of the same id. " + body, "b"), (7, body, "c"), (8, body, "d"), (8, body, "d"), (None, None, "e")]
+    df = spark.createDataFrame([(*r, "x", "y", "z", 5) for r in rows], "doc_id long, text string, uid string, spans string, doc string, h1 string, REMOVED_CHARS int")
+    got = op7_spans.remove_repeats(df)
+    assert got.columns == ["doc_id", "text", "uid", "spans", "doc", "h1", "removed_chars"]
+    found = {(r.doc_id, r.uid): (r.text, r.removed_chars) for r in got.collect()}
+    whole = [k for k, (t, _) in found.items() if t == dict((r[2], r[1]) for r in rows)[k[1]]]
+    assert (None, "e") in whole and ((7, "a") in whole) == ((7, "c") in whole) and ((7, "a") in whole) != ((7, "b") in whole)
+    assert found[(8, "d")][0].strip() == "" and got.count() == len(rows)
+
+
 @pytest.mark.parametrize("line", ["* x{} y{}", "Smith x{}", "the x{},", "| {}", "1. a{}", "le {} de,"])
 def test_spans_of_short_lines(spark, line):
     passage = "\n".join(line.format(k, k + 1) for k in range(60))
@@ -185,6 +247,73 @@ def test_few_neighbours(spark):
     assert op8_ann.search(df.where("false")).count() == 0
 
 
+def exact_neighbours(rows, every, k):
+    """By definition: the nearest rows of the query's dimension, each id once with its best score."""
+    want = {}
+    for q, v in rows:
+        if q % every == 0:
+            best = {}
+            for other, w in rows:
+                if other != q and len(w) == len(v):
+                    best[other] = max(best.get(other, -np.inf), float((np.array(w) * np.array(v)).sum()))
+            want.setdefault(q, set()).add(tuple(sorted(best, key=lambda o: (-best[o], o))[:k]))
+    return want
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_neighbours_beyond_the_buckets(spark, monkeypatch, clash):
+    """Ten rows in one cluster and many in the opposite one, ties, two dimensions: every query gets all it can have, exactly."""
+    monkeypatch.setattr(op8_ann, "FEW", 4)
+    monkeypatch.setattr(op8_ann, "CELL", 50)
+    monkeypatch.setattr(op8_ann, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(1)
+    near = np.array([1.0] + [0.0] * 7)
+    rows = [(20 * k, (near + 0.01 * rng.standard_normal(8)).tolist()) for k in range(10)] + [(20 * k + 7, (-near + 0.01 * rng.standard_normal(8)).tolist()) for k in range(200)]
+    rows += [(5, [1.0] * 8), (6, [1.0] * 8), (40_000, [1.0, 0.0, 0.0]), (40_001, [0.5, 0.0, 0.0]), (40_020, [0.0, 2.0, 1.0]), (40_040, [5.0])]
+    df = spark.createDataFrame([(k, v, 1, "x", 0.5) for k, v in rows], "vec_id long, embedding array<double>, rank int, bucket string, score double" if clash else "vec_id long, embedding array<double>, a int, b string, c double")
+    found = {}
+    for r in op8_ann.search(df).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    want = exact_neighbours(rows, 20, 20)
+    assert set(found) == {q for q, lists in want.items() if any(lists)} and 40_040 not in found
+    assert all(tuple(found[q]) in want[q] or len(set(found[q]) & set(next(iter(want[q])))) >= 18 for q in found)
+    assert all(len(found[q]) == len(next(iter(want[q]))) for q in found)
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(k % 40, [float(k), 1.0 + k % 3]) for k in range(80)]
+    got = op8_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.query_id for r in got} == {0, 20}
+    for q in (0, 20):
+        own = [r.vec_id for r in got if r.query_id == q]
+        assert q not in own and len(set(own)) >= 20
+
+
+@pytest.mark.parametrize("width", [8, 12, 20])
+def test_links_of_wide_substrings_and_several_dimensions(spark, monkeypatch, width):
+    monkeypatch.setattr(op9_itq, "SUBSTRING", width)
+    monkeypatch.setattr(op9_itq, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 32))
+    x[300:] = x[:300] + 0.25 * rng.standard_normal((300, 32))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    small = [(5000 + k, [1.0, 0.1 * k, 0.0]) for k in range(9)]
+    more = [(5000, [1.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(k, v, 1.0) for k, v in rows + small + more], "vec_id long, embedding array<double>, sub double")
+    got = op9_itq.near_duplicates(df).collect()
+    assert len(got) == 611
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    found = {r.vec_id: r for r in got}
+    assert sum(found[k].n_links for k, _ in rows) >= 0.99 * linked.sum() and all(found[k].n_links <= linked[k].sum() for k, _ in rows)
+    v = np.array([w for _, w in small])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= 0.9
+    assert [found[k].n_links for k, _ in small[1:]] == [int(n.sum()) - 1 + int(n[0]) for n in near[1:]]
+    assert found[5008].component_id == 5000 and found[None].n_links == 0 and found[None].component_id is None and not found[None].kept
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_linked_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(op9_itq, "BLOCK", block)
