@@ -79,10 +79,14 @@ def train(records: list[bytes]) -> zstandard.ZstdCompressionDict:
     while size // step > SAMPLE_BYTES:
         step += 1
     sample = [r[: 64 << 10] for r in records[::step]]
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, sample)
-    except zstandard.ZstdError:  # too few or too small records
-        return zstandard.ZstdCompressionDict(b"".join(sample)[-DICT_BYTES:].ljust(8, b"\n"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    for size in (DICT_BYTES, 4 << 10, 1 << 10):
+        # too few or too small records: their quarters stand in beside them, until there is enough to train on
+        parts = sample if size == DICT_BYTES else [r[k * len(r) // 4 : (k + 3) * len(r) // 4] for r in sample for k in range(2)] * (1 + 64 // len(sample)) + sample
+        try:
+            return zstandard.train_dictionary(size, parts)
+        except zstandard.ZstdError:
+            continue
+    return zstandard.ZstdCompressionDict(b"".join(sample)[-DICT_BYTES:].ljust(8, b"\n"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive_chunks(records: list[bytes], date: str):
