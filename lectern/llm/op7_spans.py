@@ -12,13 +12,15 @@ blanks between words it ends after a full-width mark and at a blank between two
 count: ``WIDE`` Chinese or Japanese ones, or ``NARROW`` Thai, Lao, Khmer or Burmese ones, as a word.
 
 The count of each hash is pre-aggregated on the map side without places, and only hashes that repeat are kept, as a table in
-the shared folder.  The texts are hashed again for the join with it, a shuffle join that AQE splits where a passage is hot;
-the places that it leaves are few, and their least is aggregated for each hash.  What meets per document is that document's
-own spans.
+the shared folder.  The texts are hashed again for the join with it, a shuffle join that AQE splits where a passage is hot
+(a table of all hashes with their places would be larger than the texts); the places that it leaves are few, and their least is
+aggregated for each hash.  What meets per document is that document's own spans.  A document is known by its
+id and a 64-bit hash of its text, so only texts of one id could be taken for each other.
 
 Cases: null and blank texts have no sentences and stay as they are; texts shorter than a run stay; a document that repeats an
 earlier one loses all its runs; rows that repeat id and text are one document and are treated alike; null ids come first; rows with one
-id and several texts are told apart by their text; other columns pass through; an empty table gives no row.
+id and several texts are told apart by their text; other columns pass through, but one with the name of the added column is
+replaced; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import Workspace, slices
+from lectern.llm.common import Workspace, fresh, slices, without_names
 
 RUN, LONG = 16, 32
 WIDE, NARROW = 2, 4
@@ -47,7 +49,6 @@ END = re.compile(MARKED)
 #: The same in texts that hold letters of scripts without blanks between words.
 UNSPACED_END = re.compile(rf"(?<=[。！？，、；：｡､])\s*(?![。！？，、；：｡､」』）”’])|(?<=[。！？，、；：｡､][」』）”’])\s*|(?<=[{HAN}{THAI}])\s+(?=[{HAN}{THAI}])|{MARKED}")
 WIDE_LETTER, NARROW_LETTER, UNSPACED = re.compile(f"[{HAN}]"), re.compile(f"[{THAI}]"), re.compile(f"[{HAN}{THAI}]")
-UID, SPANS = "__row_uid", "__row_spans"
 
 
 def sentences(text: str) -> tuple[list[int], list[list[str]]]:
@@ -125,46 +126,48 @@ def without(text: str, spans: list[int]) -> tuple[str, int]:
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed_chars") -> DataFrame:
     """The input's rows with repeated runs removed from ``text`` and the number of characters removed as another column."""
     ws = Workspace(df.sparkSession, "op7")
-    uid = F.xxhash64(F.col(key), F.col(text))
+    df = without_names(df, removed)
+    uid, spans = fresh("uid", [*df.columns, removed]), fresh("spans", [*df.columns, removed])
 
     def hashed(places: bool):
         def run(batches):
             for batch in batches:
                 for part in slices(batch):
-                    h1, h2, rows, spans = [], [], [], []
+                    h1, h2, rows, at = [], [], [], []
                     for k, t in enumerate(part.column(0).to_pylist()):
                         for h, lo, hi in runs(t):
                             h1.append(h >> 64)
                             h2.append(h & 0xFFFFFFFFFFFFFFFF)
                             rows.append(k)
-                            spans.append(lo << 32 | hi)
+                            at.append(lo << 32 | hi)
                     if rows:
                         cols = {"h1": pa.array(np.array(h1, "u8").view("i8")), "h2": pa.array(np.array(h2, "u8").view("i8"))}
                         if places:
-                            at = pa.array(rows, pa.int32())
-                            cols |= {"doc": part.column(1).take(at), "uid": part.column(2).take(at), "span": pa.array(spans, pa.int64())}
+                            of = pa.array(rows, pa.int32())
+                            cols |= {"doc": part.column(1).take(of), "uid": part.column(2).take(of), "span": pa.array(at, pa.int64())}
                         yield pa.record_batch(list(cols.values()), names=list(cols))
 
         return run
 
-    texts = df.select(F.col(text).alias("text"), F.col(key).alias("doc"), uid.alias("uid")).where("text is not null")
+    texts = df.select(F.col(text).alias("text"), F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("uid")).where("text is not null")
     hashes = texts.select("text").mapInArrow(hashed(False), "h1 long, h2 long")
     again = ws.save(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeats")
     found = texts.mapInArrow(hashed(True), f"h1 long, h2 long, doc {dict(df.dtypes)[key]}, uid long, span long")
     hits = ws.save(found.join(again, ["h1", "h2"]), "hits")
     place = F.struct("doc", "uid", "span")
     first = ws.save(hits.groupBy("h1", "h2").agg(F.min(place).alias("first")), "first")  # a table, so that AQE can split the join
-    later = hits.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("uid", "span")
-    gone = later.groupBy("uid").agg(F.collect_list("span").alias(SPANS)).withColumnRenamed("uid", UID)
-    whole = df.withColumn(UID, uid).join(gone, UID, "left").drop(UID)
+    later = hits.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc", "uid", "span")
+    gone = later.groupBy("doc", "uid").agg(F.collect_set("span").alias(spans)).select(F.col("doc").alias(fresh("doc", df.columns)), F.col("uid").alias(uid), spans)
+    rows = df.withColumn(uid, F.xxhash64(F.col(text)))
+    whole = rows.join(gone, rows[f"`{key}`"].eqNullSafe(gone[0]) & (rows[uid] == gone[1]), "left").select(*[rows[f"`{c}`"] for c in df.columns], gone[2])
     names = df.columns
     at = names.index(text)
 
     def strip(batches):
         for batch in batches:
             for part in slices(batch):
-                texts, spans = part.column(at).to_pylist(), part.column(len(names)).to_pylist()
-                done = [(t, 0) if not s else without(t, s) for t, s in zip(texts, spans, strict=True)]
+                texts, gaps = part.column(at).to_pylist(), part.column(len(names)).to_pylist()
+                done = [(t, 0) if not s else without(t, s) for t, s in zip(texts, gaps, strict=True)]
                 cols = list(part.columns[: len(names)])
                 cols[at] = pa.array([t for t, _ in done], part.schema.field(at).type)
                 yield pa.record_batch([*cols, pa.array([n for _, n in done], pa.int64())], names=[*names, removed])
