@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Query terms that carry no meaning.
@@ -37,6 +37,11 @@ def nfkd_udf():
     return nfkd
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The table with one more column.  It comes out of a one-element explode, so the planner can't copy its expression into each use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def squeeze(text) -> Column:
     """Runs of blanks to one blank, ends trimmed."""
     return F.trim(F.regexp_replace(_c(text), r"\s+", " "))

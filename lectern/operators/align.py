@@ -10,23 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.sources.store import Save, planned
 
 
-def pair_similarity(left: DataFrame, right: DataFrame, pad: int = 0) -> DataFrame:
+def pair_similarity(left: DataFrame, right: DataFrame, pad: int = 0, save: Save = planned) -> DataFrame:
     """Rows ``(pair_id, l, r, score)`` of positive TF-IDF cosines between ``(pair_id, l, text)`` and ``(pair_id, r, text)``.
 
     The space is fitted per pair on both sides' texts that are not empty, plus ``pad`` texts with a term of their own.
     """
     sides = left.select("pair_id", F.lit("l").alias("side"), F.col("l").cast("long").alias("id"), T.normalise("text").alias("t")).unionByName(right.select("pair_id", F.lit("r").alias("side"), F.col("r").cast("long").alias("id"), T.normalise("text").alias("t")))
     n = sides.where("side = 'l' or t <> ''").groupBy("pair_id").agg((F.count("*") + pad).alias("n"))
-    tf = sides.select("pair_id", "side", "id", F.explode(T.grams(T.tokens("t"))).alias("term")).groupBy("pair_id", "side", "id", "term").agg(F.count("*").alias("tf"))
+    toks = T.held(sides, "toks", T.tokens("t"))
+    tf = save(toks.select("pair_id", "side", "id", F.explode(T.grams(F.col("toks"))).alias("term")).groupBy("pair_id", "side", "id", "term").agg(F.count("*").alias("tf")), "tf")
     df = tf.groupBy("pair_id", "term").agg(F.count("*").alias("df"))
     w = tf.join(df, ["pair_id", "term"]).join(n, "pair_id").select("pair_id", "side", "id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
     norms = w.groupBy("pair_id", "side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = w.join(norms, ["pair_id", "side", "id"]).select("pair_id", "side", "id", "term", (F.col("w") / F.col("norm")).alias("w"))
     a = unit.where("side = 'l'").select("pair_id", "term", F.col("id").alias("l"), F.col("w").alias("lw"))
     b = unit.where("side = 'r'").select("pair_id", "term", F.col("id").alias("r"), F.col("w").alias("rw"))
-    return a.join(b, ["pair_id", "term"]).groupBy("pair_id", "l", "r").agg(F.sum(F.col("lw") * F.col("rw")).alias("score"))
+    return save(a.join(b, ["pair_id", "term"]).groupBy("pair_id", "l", "r").agg(F.sum(F.col("lw") * F.col("rw")).alias("score")), "similarity")
 
 
 def best_first(scores: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -56,19 +58,20 @@ def label_index(units: DataFrame) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1 and label <> ''").select("pair_id", "label", "unit_id")
 
 
-def match_units(recs: DataFrame, units: DataFrame, k: int = 3, threshold: float = 0.05, label_score: float = 0.95, floor: float = 0.18, grouped_pairs: list | None = None) -> DataFrame:
+def match_units(recs: DataFrame, units: DataFrame, k: int = 3, threshold: float = 0.05, label_score: float = 0.95, floor: float = 0.18, grouped_pairs: list | None = None, save: Save = planned) -> DataFrame:
     """Rows ``(pair_id, rec_id, unit_id, match_method, score, primary)``.
 
     Primary match: the label, its last word, the most similar quoted recommendation (``floor``), the most similar response
     (``threshold``), and for the last three recommendations the sequence.  Then up to ``k - 1`` alternatives by response similarity.
     """
+    recs, units = save(recs, "recs"), save(units, "units")
     index = label_index(units)
     keyed = recs.withColumn("label", T.label(F.coalesce("item_label", F.lit("")))).withColumn("tail", F.element_at(F.split("label", r"\s+"), -1))
     full = index.select("pair_id", "label", F.col("unit_id").alias("by_label"))
     short = index.select("pair_id", F.col("label").alias("tail"), F.col("unit_id").alias("by_tail"))
     left = recs.select("pair_id", F.col("rec_id").alias("l"), "text")
-    response = pair_similarity(left, units.select("pair_id", F.col("unit_id").alias("r"), F.coalesce("response_text", "full_unit_text", F.lit("")).alias("text")), pad=1)
-    structure = pair_similarity(left, units.select("pair_id", F.col("unit_id").alias("r"), F.coalesce("quoted_recommendation_text", F.lit("")).alias("text")), pad=1)
+    response = pair_similarity(left, units.select("pair_id", F.col("unit_id").alias("r"), F.coalesce("response_text", "full_unit_text", F.lit("")).alias("text")), pad=1, save=save)
+    structure = pair_similarity(left, units.select("pair_id", F.col("unit_id").alias("r"), F.coalesce("quoted_recommendation_text", F.lit("")).alias("text")), pad=1, save=save)
     by_structure = best_first(structure, 1, floor).select("pair_id", F.col("l").alias("rec_id"), F.col("r").alias("by_structure"), F.col("score").alias("structure_score"))
     by_response = best_first(response, 1, threshold).select("pair_id", F.col("l").alias("rec_id"), F.col("r").alias("by_response"), F.col("score").alias("response_score"))
     on = ["pair_id", "rec_id"]
@@ -82,11 +85,11 @@ def match_units(recs: DataFrame, units: DataFrame, k: int = 3, threshold: float
         .when(F.col("named").isNotNull(), "exact_label").when(F.col("by_structure").isNotNull(), "structure").when(F.col("by_response").isNotNull(), "semantic")
     )
     score = F.when(F.col("named").isNotNull() & grouped, F.greatest(F.lit(0.82), F.coalesce("extraction_confidence", F.lit(0.82)))).when(F.col("named").isNotNull(), F.lit(label_score)).otherwise(F.coalesce("structure_score", "response_score"))
-    tiers = j.select("pair_id", "rec_id", F.coalesce("named", "by_structure", "by_response").alias("unit_id"), method.alias("match_method"), score.alias("score"))
+    tiers = save(j.select("pair_id", "rec_id", F.coalesce("named", "by_structure", "by_response").alias("unit_id"), method.alias("match_method"), score.alias("score")), "tiers")
     primary = tiers.where("unit_id is not null")
     others = best_first(response.join(primary.select("pair_id", F.col("rec_id").alias("l"), F.col("unit_id").alias("own")), ["pair_id", "l"]).where("r <> own"), max(0, k - 1), threshold)
     others = others.select("pair_id", F.col("l").alias("rec_id"), F.col("r").alias("unit_id"), F.lit("semantic").alias("match_method"), "score")
-    known = primary.withColumn("primary", F.lit(True)).unionByName(others.withColumn("primary", F.lit(False)))
+    known = save(primary.withColumn("primary", F.lit(True)).unionByName(others.withColumn("primary", F.lit(False))), "known")
     return known.unionByName(sequence_matches(recs, units, tiers, known))
 
 
@@ -112,12 +115,12 @@ def prefix_match(rec: str, block: str) -> Column:
     return F.struct(F.when(F.size(a) == 0, 0.0).otherwise(matched / F.size(a)).alias("ratio"), matched.alias("matched"))
 
 
-def match_ordinal(recs: DataFrame, units: DataFrame, threshold: float = 0.05) -> DataFrame:
+def match_ordinal(recs: DataFrame, units: DataFrame, threshold: float = 0.05, save: Save = planned) -> DataFrame:
     """The unit with the recommendation's ordinal if it repeats its start, else the most similar unit that quotes or repeats it."""
     order = Window.partitionBy("pair_id")
     r = recs.withColumn("ix", F.row_number().over(order.orderBy("rec_id"))).withColumnRenamed("text", "rec_text")
     u = units.withColumn("ix", F.row_number().over(order.orderBy("unit_id"))).withColumn("block", F.coalesce("full_unit_text", "response_text", F.lit(""))).withColumn("quote", F.coalesce("quoted_recommendation_text", F.lit("")))
-    sim = pair_similarity(recs.select("pair_id", F.col("rec_id").alias("l"), "text"), u.select("pair_id", F.col("unit_id").alias("r"), F.when(F.col("quote") != "", F.col("quote")).otherwise(F.col("block")).alias("text")), pad=1)
+    sim = pair_similarity(recs.select("pair_id", F.col("rec_id").alias("l"), "text"), u.select("pair_id", F.col("unit_id").alias("r"), F.when(F.col("quote") != "", F.col("quote")).otherwise(F.col("block")).alias("text")), pad=1, save=save)
     sim = sim.select("pair_id", F.col("l").alias("rec_id"), F.col("r").alias("unit_id"), "score")
     cols = ["pair_id", "rec_id", "rec_text", "unit_id", "block", "quote"]
 

@@ -17,7 +17,8 @@ def window_chunks(pages: DataFrame, size: int = 400, overlap: int = 50, min_word
     if size < 1 or overlap < 0:
         raise ValueError("size must be positive and overlap not negative")
     step = max(1, size - overlap)
-    rows = pages.select(F.col(source).alias("source"), F.col(page).alias("page_number"), T.words(T.clean(F.coalesce(F.col(text), F.lit("")))).alias("w")).where(F.size("w") > 0)
+    rows = pages.select(F.col(source).alias("source"), F.col(page).alias("page_number"), F.col(text).alias("text"))
+    rows = T.held(rows, "w", T.words(T.clean(F.coalesce("text", F.lit(""))))).where(F.size("w") > 0)
     if min_words and step < min_words:
         return merge_short(window_chunks(pages, size, overlap, 0, source, page, text), min_words)
     n = F.size("w")
@@ -29,7 +30,7 @@ def window_chunks(pages: DataFrame, size: int = 400, overlap: int = 50, min_word
     own = F.slice("w", F.col("ix") * step + 1, F.lit(size))
     after = F.slice("w", F.col("last") * step + 1, F.lit(size))
     cut = F.when(F.col("merged") & (F.col("ix") == F.col("last") - 1), F.concat(own, after)).otherwise(own)
-    return rows.select("source", "page_number", "ix", F.array_join(cut, " ").alias("text"), F.size(cut).alias("n_words"))
+    return T.held(rows, "cut", cut).select("source", "page_number", "ix", F.array_join("cut", " ").alias("text"), F.size("cut").alias("n_words"))
 
 
 def merge_short(chunks: DataFrame, min_words: int) -> DataFrame:
@@ -64,11 +65,11 @@ def numbered(chunks: DataFrame) -> DataFrame:
 
 def distinct_chunks(chunks: DataFrame, *order: str) -> DataFrame:
     """The first row, in the given order, of each normalised text; texts that normalise to nothing all stay."""
-    norm = T.normalise("text")
-    keep = F.row_number().over(Window.partitionBy("__norm").orderBy(*order))
-    rows = chunks.withColumn("__norm", F.trim(norm))
-    first = rows.where("__norm <> ''").withColumn("__rn", keep).where("__rn = 1").drop("__rn")
-    return first.unionByName(rows.where("__norm = ''")).drop("__norm")
+    norm, sign, rn = "__norm", "__sign", "__rn"
+    rows = T.held(chunks, norm, F.trim(T.normalise("text"))).withColumn(sign, F.when(F.col(norm) != "", F.sha2(norm, 256))).drop(norm)
+    keep = F.row_number().over(Window.partitionBy(sign).orderBy(*order))
+    first = rows.where(F.col(sign).isNotNull()).withColumn(rn, keep).where(F.col(rn) == 1).drop(rn)
+    return first.unionByName(rows.where(F.col(sign).isNull())).drop(sign)
 
 
 def with_context(chunks: DataFrame, window: int = 1, chars: int = 300) -> DataFrame:
@@ -79,15 +80,18 @@ def with_context(chunks: DataFrame, window: int = 1, chars: int = 300) -> DataFr
 
 def fingerprint(chunks: DataFrame) -> DataFrame:
     """One row: number of chunks, and 12 hex digits over source, id and length of the first, middle and last."""
-    n = chunks.agg(F.count("*").alias("n"))
-    order = Window.orderBy("source", "chunk_id")
-    at = chunks.select("source", "chunk_id", F.length("text").alias("len")).withColumn("rn", F.row_number().over(order) - 1)
-    part = F.concat_ws("#", "source", F.col("chunk_id").cast("string"), F.col("len").cast("string"))
-    picked = at.crossJoin(F.broadcast(n)).agg(
-        F.first("n").alias("n"),
-        F.max(F.when(F.col("rn") == 0, part)).alias("a"),
-        F.max(F.when(F.col("rn") == F.floor(F.col("n") / 2), part)).alias("b"),
-        F.max(F.when(F.col("rn") == F.col("n") - 1, part)).alias("c"),
+    part = F.concat_ws("#", "source", F.col("chunk_id").cast("string"), F.length("text").cast("string"))
+    rows = chunks.select("source", "chunk_id", part.alias("part"))
+    per = rows.groupBy("source").agg(F.count("*").alias("n"))
+    # one row a source: the only thing that meets in one task; chunk ids count up from 0 in each
+    before = F.coalesce(F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = per.withColumn("start", before).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
+    placed = rows.join(F.broadcast(starts), "source").withColumn("rn", F.col("start") + F.col("chunk_id"))
+    picked = placed.agg(
+        F.max("total").alias("n"),
+        F.max(F.when(F.col("rn") == 0, F.col("part"))).alias("a"),
+        F.max(F.when(F.col("rn") == F.floor(F.col("total") / 2), F.col("part"))).alias("b"),
+        F.max(F.when(F.col("rn") == F.col("total") - 1, F.col("part"))).alias("c"),
     )
     sign = F.concat_ws("::", F.col("n").cast("string"), F.substring(F.sha1(F.concat_ws("|", F.col("n").cast("string"), "a", "b", "c").cast("binary")), 1, 12))
     return picked.select(F.when(F.col("n").isNull(), "0::empty").otherwise(sign).alias("fingerprint"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.sources.store import Save, planned
 
 #: Grade of each relevance label.
 GRADES = {"relevant": 3, "likely_relevant": 2, "partial": 1, "doc_match_only": 1, "irrelevant": 0, "unknown": 0}
@@ -76,14 +77,14 @@ def error_category(label: Column, preview_words: Column, doc_match: Column, cove
     )
 
 
-def anchors_in(anchors: DataFrame, chunks: DataFrame, same_source: bool = False) -> DataFrame:
+def anchors_in(anchors: DataFrame, chunks: DataFrame, same_source: bool = False, save: Save = planned) -> DataFrame:
     """Pairs of anchor and passage whose normalised text holds the anchor's.
 
     Candidates come from an equi-join on the rarest three-word shingle of each anchor, then containment decides; anchors of fewer than
     three words are compared with every passage.
     """
-    a = anchors.withColumn("a_norm", F.trim(T.normalise("anchor"))).where("a_norm <> ''").withColumn("aw", T.words("a_norm"))
-    c = chunks.withColumn("c_norm", T.normalise("text")).withColumn("cw", T.words("c_norm"))
+    a = save(T.held(T.held(anchors, "a_norm", F.trim(T.normalise("anchor"))), "aw", T.words("a_norm")).where("a_norm <> ''"), "anchors")
+    c = save(T.held(chunks, "c_norm", T.normalise("text")).drop("text"), "normal")
 
     def triples(w: str) -> Column:
         return F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " ")))
@@ -92,7 +93,8 @@ def anchors_in(anchors: DataFrame, chunks: DataFrame, same_source: bool = False)
     inner = F.when(F.size("aw") >= 5, F.expr("slice(aw, 2, size(aw) - 2)"))
     a = a.withColumn("inner", inner)
     asked = a.where("inner is not null").select("anchor_id", F.explode(triples("inner")).alias("t")).distinct()
-    postings = c.select("chunk_id", F.explode(F.array_distinct(triples("cw"))).alias("t")).join(asked.select("t").distinct(), "t")
+    shingled = T.held(c.select("chunk_id", "c_norm"), "cw", T.words("c_norm")).select("chunk_id", F.explode(triples("cw")).alias("t"))
+    postings = save(shingled.join(asked.select("t").distinct(), "t", "left_semi").distinct(), "postings")
     freq = postings.groupBy("t").agg(F.count("*").alias("df"))
     rarest = asked.join(freq, "t").groupBy("anchor_id").agg(F.min_by("t", F.struct("df", "t")).alias("t"))
     near = rarest.join(postings, "t").select("anchor_id", "chunk_id")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.sources.store import Save, planned
 
 CONTENTS_FACTOR, STRUCTURAL_FACTOR = 0.45, 0.65
 #: Keyword share by type of query.
@@ -23,21 +24,26 @@ NUMERIC = r"(?i)\b\d{2,}\b|(?:thousand|million|billion|per\s*cent|\d+\s*%|19\d{2
 
 @dataclass
 class Index:
-    """Weights ``(id, term, w)`` of unit rows, and ``(term, idf)``."""
+    """Counts ``(id, term, tf)``, ``(term, idf)`` and the lengths ``(id, norm)`` of the weighted rows."""
 
-    weights: DataFrame
+    counts: DataFrame
     idf: DataFrame
+    norms: DataFrame
 
 
 def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    counted = rows.select(F.col(key).alias("id"), F.explode(T.grams(T.tokens(T.normalise(text)))).alias("term"))
-    return counted.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """``(id, term, tf)``.  The texts are dealt out by id, so the counts need no shuffle of their own."""
+    dealt = rows.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+    toks = T.held(dealt, "toks", T.tokens(T.normalise("text")))
+    return toks.select("id", F.explode(T.grams(F.col("toks"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def unit_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    raw = counts.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("w"))
+def weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    return counts.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
+
+
+def lengths(raw: DataFrame) -> DataFrame:
+    return raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
 
 
 def fit_idf(counts: DataFrame, n: DataFrame) -> DataFrame:
@@ -46,16 +52,23 @@ def fit_idf(counts: DataFrame, n: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def build_index(rows: DataFrame, key: str = "chunk_id", text: str = "text") -> Index:
-    counts = term_counts(rows, key, text)
-    idf = fit_idf(counts, rows.agg(F.count("*").alias("n")))
-    return Index(unit_weights(counts, idf), idf)
+def build_index(rows: DataFrame, key: str = "chunk_id", text: str = "text", save: Save = planned) -> Index:
+    counts = save(term_counts(rows, key, text), "counts")
+    idf = save(fit_idf(counts, rows.agg(F.count("*").alias("n"))), "idf")
+    return Index(counts, idf, lengths(weighted(counts, idf)))
 
 
 def cosine(index: Index, queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
-    """Rows ``(query_id, id, score)`` of positive TF-IDF cosines: an equi-join on terms, partly aggregated before the shuffle."""
-    q = unit_weights(term_counts(queries, key, text), index.idf).select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw"))
-    return index.weights.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    """Rows ``(query_id, id, score)`` of positive TF-IDF cosines.
+
+    Only the counts of terms that a query has are weighted and joined; the sums are pre-aggregated before the shuffle, and
+    the rows' lengths come last.
+    """
+    raw = weighted(term_counts(queries, key, text), index.idf)
+    unit = raw.join(lengths(raw), "id").select(F.col("id").alias("query_id"), "term", (F.col("raw") / F.col("norm")).alias("qw"))
+    asked = unit.join(index.idf, "term").select("query_id", "term", (F.col("qw") * F.col("idf")).alias("qw"))
+    sums = index.counts.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("qw")).alias("sum"))
+    return sums.join(index.norms, "id").select("query_id", "id", (F.col("sum") / F.col("norm")).alias("score"))
 
 
 def top(rows: DataFrame, k: int, part: str = "query_id", order: tuple = ("chunk_id",)) -> DataFrame:
@@ -67,15 +80,15 @@ def penalty(text: str) -> Column:
     return F.when(T.is_contents(text), CONTENTS_FACTOR).when(T.is_structural(text), STRUCTURAL_FACTOR).otherwise(1.0)
 
 
-def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def keyword_scores(chunks: DataFrame, queries: DataFrame, save: Save = planned) -> DataFrame:
     """``(query_id, chunk_id, score)`` with passages that are no prose scaled down."""
-    hits = cosine(build_index(chunks), queries).withColumnRenamed("id", "chunk_id")
+    hits = cosine(build_index(chunks, save=save), queries).withColumnRenamed("id", "chunk_id")
     return hits.join(chunks.select("chunk_id", penalty("text").alias("factor")), "chunk_id").select("query_id", "chunk_id", (F.col("score") * F.col("factor")).alias("score"))
 
 
-def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 5, save: Save = planned) -> DataFrame:
     """The ``k`` best passages per query with a positive score; chunk ids must be unique over all sources."""
-    best = top(keyword_scores(chunks, queries).where("score > 0"), k)
+    best = top(keyword_scores(chunks, queries, save).where("score > 0"), k)
     return best.join(chunks, "chunk_id")
 
 
@@ -121,11 +134,12 @@ def recommended_alpha(query: str) -> Column:
     return F.create_map(*[F.lit(v) for kv in ALPHA.items() for v in kv])[kind]
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 5, alpha: float | None = None, sources: list[str] | None = None, boost: float = 0.12) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 5, alpha: float | None = None, sources: list[str] | None = None, boost: float = 0.12, save: Save = planned) -> DataFrame:
     """``alpha`` of the keyword score over its maximum, the rest dense cosine, plus 0.45 of the idf-weighted term coverage, 0.15 for the
     whole phrase, 0.08 for the recommendation number the query cites, and a boost for preferred sources.  Zero scores stay."""
-    index = build_index(chunks)
+    index = build_index(chunks, save=save)
     lexical = cosine(index, queries).withColumnRenamed("id", "chunk_id").join(chunks.select("chunk_id", penalty("text").alias("f")), "chunk_id").select("query_id", "chunk_id", (F.col("score") * F.col("f")).alias("lex"))
+    lexical = save(lexical, "lexical")
     most = lexical.groupBy("query_id").agg(F.max("lex").alias("most"))
     mix = F.lit(float(alpha)) if alpha is not None else recommended_alpha("query")
     q = queries.select("query_id", "query", F.col("embedding").alias("q_emb"), mix.alias("alpha"), T.normalise("query").alias("q_norm"), F.regexp_extract("query", REC_NUMBER, 1).alias("rec"))

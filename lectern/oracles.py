@@ -72,7 +72,7 @@ SQL["full_text"] = f"WITH t AS (SELECT source, string_agg(text, chr(10) ORDER BY
 SQL["page_of_offset"] = """WITH o AS (SELECT source, doc_id, coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM documents),
   a AS (SELECT source, unnest(range(0, sum(length(text))::BIGINT, 5000)) AS pos FROM documents GROUP BY source)
 SELECT a.source, a.pos::BIGINT AS "offset", (SELECT max_by(doc_id, start) FROM o WHERE o.source = a.source AND o.start <= a.pos)::INT AS page_number FROM a"""
-SQL["paragraph_tails"] = r"""WITH p AS (SELECT source, doc_id, (CASE WHEN doc_id % 4 = 1 THEN '12 and 13), ' ELSE '' END) || regexp_replace(left(text, 120), '[()]', '', 'g') || (CASE WHEN doc_id % 5 = 0 THEN ' see (paragraph ' ELSE '' END) AS t FROM documents),
+SQL["paragraph_tails"] = r"""WITH p AS (SELECT source, doc_id, (CASE WHEN doc_id % 4 = 1 THEN '12 and 13), ' ELSE '' END) || regexp_replace(text, '[()]', '', 'g') || (CASE WHEN doc_id % 5 = 0 THEN ' see (paragraph ' ELSE '' END) AS t FROM documents),
   e AS (SELECT *, CASE WHEN regexp_matches(t, '(?i)\(\s*paragraphs?\s*$') THEN 1 WHEN contains(t, ')') THEN 0 END AS ev FROM p),
   c AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS carried FROM e),
   x AS (SELECT source, doc_id, CASE WHEN carried = 1 AND contains(t, ')') THEN ltrim(regexp_replace(t, '(?s)^[^)]*\)', ''), ' .,:;-' || chr(10) || chr(9)) ELSE t END AS t FROM c)
@@ -86,7 +86,7 @@ _meta = [" Crown copyright 2020.", " ISBN 978-1-5286-2222-3 Printed in the UK",
 _strip = "t"
 for _p in (r"all content is available under the open government licence v?3\.0[^.\n]*\.?", r"open government licence v?3\.0[^.\n]*\.?", r"\bogl\b", r"©?\s*crown copyright[^.\n]*\.?", r"nationalarchives\.gov\.uk[^ \n]*", r"https?://www\.gov\.uk/government/publications/[^\s]+"):
     _strip = f"regexp_replace({_strip}, {q('(?i)' + _p)}, '', 'g')"
-SQL["metadata_flags"] = f"""WITH d AS (SELECT doc_id, left(text, 60) || {pick(['', *_meta], 'doc_id % 4 + 1')} AS t FROM documents)
+SQL["metadata_flags"] = f"""WITH d AS (SELECT doc_id, text || {pick(['', *_meta], 'doc_id % 4 + 1')} AS t FROM documents)
 SELECT doc_id, (contains(lower(t), 'crown copyright')::INT + contains(lower(t), 'open government licence')::INT + contains(lower(t), 'isbn')::INT + contains(lower(t), 'printed in the uk')::INT + contains(lower(t), 'nationalarchives.gov.uk')::INT) >= 2 AS metadata,
   {digest(f"trim(regexp_replace(regexp_replace({_strip}, '[ \t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'))")} AS stripped_md5 FROM d"""
 _lines = "list_filter(list_transform(string_split_regex(t, '\\r\\n|\\n|\\r'), lambda x: trim(x)), lambda x: length(x) > 0)"
@@ -100,7 +100,7 @@ _title = r"""(len(w) < 35 AND NOT regexp_matches(regexp_replace(trim(t), '^\s*\d
    (regexp_matches(trim(t), '^\s*(\d+|[A-Z])[\.\)]\s+\S')::INT + (length(regexp_replace(t, '\P{Lu}', '', 'g')) / greatest(length(regexp_replace(t, '\P{L}', '', 'g')), 1) >= 0.5)::INT + (NOT contains(trim(t), chr(10)) AND len(w) < 20)::INT) >= 2)"""
 _ref_test = f"regexp_matches(x, {q(PAGE_REF)})"
 _ends = r"len(regexp_extract_all(t, '[.!?](\s|$)'))"
-SQL["passage_flags"] = f"""WITH d AS (SELECT doc_id, left(text, 180) AS t, {words('left(text, 180)')} AS w FROM documents),
+SQL["passage_flags"] = f"""WITH d AS (SELECT doc_id, text AS t, {words('text')} AS w FROM documents),
   f AS (SELECT doc_id, {_title} AS title_only, regexp_matches(trim(t), '(?i)^\\s*contents\\b') OR ({_share("regexp_matches(x, '^.{3,80}(\\.{3,}|\\s{2,})\\s*\\d{1,3}\\s*$')")}) >= 0.4 AS contents,
     len(w) AS n, {_share(_ref_test)} AS refs, regexp_matches(left(t, 200), {q(STRUCTURAL_HEADS)}) AS head, {_ends} / greatest(len(w), 1) < 0.025 AS few FROM d)
 SELECT doc_id, title_only, contents, title_only OR (n >= 10 AND ((head::INT + (refs > 0.25)::INT + few::INT) >= 2 OR refs > 0.5)) AS structural FROM f"""
@@ -122,7 +122,7 @@ def sentence_list(x: str) -> str:
 
 
 SQL["sentences"] = f"WITH d AS (SELECT doc_id, {sentence_list('trim(text)')} AS s FROM documents) SELECT doc_id, len(s)::INT AS n, {digest('s[1]')} AS first_md5, {digest('s[-1]')} AS last_md5 FROM d"
-SQL["headings"] = f"""WITH d AS (SELECT doc_id, trim(string_split_regex(trim(left({pick(bank.LEADS, f'doc_id % {len(bank.LEADS)} + 1')} || left(text, 80), 120)), '[.\\n]')[1]) AS lead FROM documents)
+SQL["headings"] = f"""WITH d AS (SELECT doc_id, trim(string_split_regex(trim(left({pick(bank.LEADS, f'doc_id % {len(bank.LEADS)} + 1')} || text, 120)), '[.\\n]')[1]) AS lead FROM documents)
 SELECT doc_id, CASE WHEN regexp_matches(lead, '^([Rr]ecommendations?\\s+\\d+[:.]?|[Rr]ec\\s+\\d+|\\d+[.\\)]\\s+[A-Z][A-Za-z\\s]{{3,}}|[A-Z][A-Z\\s\\-,]{{5,}}[A-Z])') THEN lead END AS heading FROM d"""
 _labels = "(VALUES " + ", ".join(f"({i}, {q(x)})" for i, x in enumerate(bank.LABELS)) + ") v(id, raw)"
 _packed = r"regexp_replace(replace(regexp_replace(regexp_replace(trim(raw), '\s+', '', 'g'), '^\((\d+)\)$', '\1'), '.(', '('), '\.$', '')"
@@ -182,8 +182,8 @@ def factor(src: str) -> str:
   fa AS (SELECT chunk_id, CASE WHEN contents THEN 0.45 WHEN title_only OR (n >= 10 AND ((head::INT + (refs > 0.25)::INT + few::INT) >= 2 OR refs > 0.5)) THEN 0.65 ELSE 1.0 END AS f FROM fl)"""
 
 
-PASSAGES = MERGED + ", passages AS (SELECT *, page_number * 1000 + ix AS chunk_id FROM chunks)"
-QUESTIONS = f"questions AS (SELECT item_id AS query_id, array_to_string(list_slice({words(clean('text'))}, 1, 8), ' ') AS query, text FROM benchmark)"
+PASSAGES = MERGED + ", passages AS (SELECT *, page_number::BIGINT * 1000000 + ix AS chunk_id FROM chunks)"
+QUESTIONS = f"questions AS (SELECT item_id AS query_id, {clean('text')} AS query, text FROM benchmark)"
 
 
 def keyword(src: str, k: int) -> str:
@@ -193,8 +193,8 @@ def keyword(src: str, k: int) -> str:
 SQL["keyword_search"] = f"WITH {PASSAGES}, {keyword('passages', 5)} SELECT query_id, rank, chunk_id, source, round(score, 6) AS score FROM found"
 SQL["scoped_search"] = f"WITH {PASSAGES}, scope AS (SELECT * FROM passages WHERE source IN ('src1', 'src2')), {keyword('scope', 3)} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM found"
 SQL["idf_weights"] = f"WITH {index('documents', 'doc_id', 'text')} SELECT term, round(idf, 6) AS idf FROM idf"
-DENSE = f"""dp AS (SELECT doc_id AS chunk_id, source, left(text, 2000) AS text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
-  dq AS (SELECT item_id AS query_id, array_to_string(list_slice({words(clean('text'))}, 1, 5), ' ') AS query, embedding AS qe FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id < 20),
+DENSE = f"""dp AS (SELECT doc_id AS chunk_id, source, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+  dq AS (SELECT item_id AS query_id, {clean('text')} AS query, embedding AS qe FROM benchmark JOIN embeddings ON vec_id = item_id),
   qterm AS (SELECT DISTINCT query_id, t FROM (SELECT query_id, unnest(list_filter(string_split_regex(lower(query), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 3 AND NOT list_contains({_stop}, w))) AS t FROM dq)),
   pn AS (SELECT *, {normal('text')} AS norm FROM dp), qn AS (SELECT *, {normal('query')} AS qnorm_text FROM dq),
   pair AS (SELECT query_id, chunk_id, source, qnorm_text <> '' AND contains(norm, qnorm_text) AS phrase, list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]) AS cs FROM pn CROSS JOIN qn)"""
@@ -210,7 +210,7 @@ def qtype(n: str) -> str:
 
 _alpha = "CASE kind WHEN 'exact_phrase' THEN 0.80 WHEN 'numeric' THEN 0.85 WHEN 'short' THEN 0.40 WHEN 'exploratory' THEN 0.25 ELSE 0.55 END::DOUBLE"
 _nterms = f"len(list_distinct(list_filter(string_split_regex(lower(query), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 3 AND NOT list_contains({_stop}, w))))"
-SQL["query_types"] = f"""WITH a AS (SELECT item_id AS query_id, array_to_string(list_slice({words(clean('text'))}, 1, 8), ' ') AS query FROM benchmark UNION ALL SELECT * FROM (VALUES {', '.join(f'({1000 + i}, {q(x)})' for i, x in enumerate(bank.QUERIES))}) v(query_id, query)),
+SQL["query_types"] = f"""WITH a AS (SELECT item_id AS query_id, {clean('text')} AS query FROM benchmark UNION ALL SELECT * FROM (VALUES {', '.join(f'({1000 + i}, {q(x)})' for i, x in enumerate(bank.QUERIES))}) v(query_id, query)),
   k AS (SELECT query_id, {qtype(_nterms)} AS kind FROM a), m AS (SELECT query_id, kind, {_alpha} AS alpha FROM k) SELECT query_id, kind, alpha, CASE WHEN alpha >= 0.7 THEN 'keyword-heavy' WHEN alpha >= 0.45 THEN 'balanced' ELSE 'semantic-heavy' END AS mix FROM m"""
 SQL["hybrid_search"] = f"""WITH {DENSE}, {index('dp', 'chunk_id', 'text')}, {asked('dq')}, {factor('dp')}, lex AS (SELECT query_id, chunk_id, score * f AS lex FROM cos JOIN fa USING (chunk_id)), most AS (SELECT query_id, max(lex) AS most FROM lex GROUP BY query_id),
   qk AS (SELECT query_id, {qtype(_nterms)} AS kind FROM dq), qa AS (SELECT query_id, {_alpha} AS alpha FROM qk),
@@ -283,7 +283,7 @@ def pair_cos(left: str, right: str, pad: int, name: str) -> str:
 TURNS = """u AS (SELECT conv_id AS pair_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS l, text FROM conversations WHERE role = 'user'),
   v AS (SELECT conv_id AS pair_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r, text FROM conversations WHERE role = 'assistant')"""
 SQL["similarity_join"] = f"WITH {TURNS}, {pair_cos('u', 'v', 0, 'sim')}, k AS (SELECT *, row_number() OVER (PARTITION BY pair_id, l ORDER BY round(score, 9) DESC, r) AS rank FROM sim WHERE score >= 0.05) SELECT pair_id, l::INT AS rec_id, r::INT AS chunk_id, rank::INT AS rank, round(score, 6) AS score FROM k WHERE rank <= 3"
-UNITS = f"""{TURNS}, e AS (SELECT pair_id, l AS r, array_to_string(list_slice({words(squeeze('text'))}, 1, 12), ' ') AS echo FROM u),
+UNITS = f"""{TURNS}, e AS (SELECT pair_id, l AS r, {squeeze('text')} AS echo FROM u),
   units AS (SELECT v.pair_id, v.r AS unit_id, v.text AS response, CASE WHEN v.r % 2 = 0 THEN [(v.r + 1)::VARCHAR, '9'] ELSE ['x', '9'] END AS labels, CASE WHEN v.pair_id % 2 = 0 THEN echo END AS quote, concat_ws(' ', echo, v.text) AS block FROM v LEFT JOIN e USING (pair_id, r)),
   li AS (SELECT pair_id, label, min(unit_id) AS unit_id FROM (SELECT pair_id, unit_id, unnest(labels) AS label FROM units) GROUP BY ALL)"""
 SQL["label_index"] = f"WITH {UNITS} SELECT pair_id, label, unit_id::INT AS unit_id FROM li"
@@ -312,8 +312,8 @@ def tests(x: str) -> str:
     """One boolean column per stance test over text column ``x``."""
     out = []
     for name, phrases in classify.TESTS.items():
-        plain = [p for p in phrases if "(?!" not in p]
-        masked = [p[: p.index("(?!")] for p in phrases if "(?!" in p]
+        plain = [p for p in phrases if " ! " not in p]
+        masked = [p.split(" ! ")[0] for p in phrases if " ! " in p]
         sql = f"regexp_matches({x}, {q(classify.pattern(plain))})"
         if masked:
             m = x
@@ -324,7 +324,7 @@ def tests(x: str) -> str:
     return ", ".join(out)
 
 
-REPLIES = f"""rp AS (SELECT doc_id, source, {pick(bank.REPLIES, f'doc_id % {len(bank.REPLIES)} + 1')} || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || left(text, 150) END AS t, (doc_id % 10) / 10.0::DOUBLE AS sim, {pick(bank.METHODS, f'doc_id % {len(bank.METHODS)} + 1')} AS method FROM documents),
+REPLIES = f"""rp AS (SELECT doc_id, source, {pick(bank.REPLIES, f'doc_id % {len(bank.REPLIES)} + 1')} || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || text END AS t, (doc_id % 10) / 10.0::DOUBLE AS sim, {pick(bank.METHODS, f'doc_id % {len(bank.METHODS)} + 1')} AS method FROM documents),
   ts AS (SELECT *, {tests('t')} FROM rp), tz AS (SELECT *, negated OR reject AS against, strong1 OR strong2 OR soft OR partial OR strong_hedge OR hedge AS signal FROM ts),
   st AS (SELECT *, CASE WHEN trim(t) = '' THEN 'not_addressed' WHEN not_for THEN 'not_addressed' WHEN against AND signal THEN 'partially_accepted' WHEN against THEN 'rejected' WHEN retained OR hedge OR override THEN 'partially_accepted' WHEN strong1 THEN 'accepted' WHEN strong2 AND strong_hedge THEN 'partially_accepted'
       WHEN strong2 THEN 'accepted' WHEN soft AND strong_hedge THEN 'partially_accepted' WHEN soft THEN 'accepted' WHEN strong_hedge OR partial THEN 'partially_accepted' ELSE 'not_addressed' END AS label,

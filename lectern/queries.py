@@ -6,6 +6,8 @@ benchmark items are queries and anchors, user and assistant turns are recommenda
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from lectern.functions import text as T
 from lectern.operators import align, chunks, classify, evaluate, extract, pages, report, search, units, validate
 from lectern.oracles import SQL  # noqa: F401
 from lectern.sources import io
+from lectern.sources.store import shared_dir, store
 from lectern.streaming import log
 
 FLAGSHIP = "keyword_search"
@@ -36,12 +39,12 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of all documents with ids that are unique over the corpus."""
     cut = chunks.window_chunks(table(spark, sf_dir, "documents"), 400, 50, 60, page="doc_id")
-    return cut.withColumn("chunk_id", F.col("page_number") * 1000 + F.col("ix"))
+    return cut.withColumn("chunk_id", F.col("page_number").cast("long") * 1_000_000 + F.col("ix"))
 
 
-def questions(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """The first words of each benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.words(T.clean("text")), 1, n), " ").alias("query"), "text")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.clean("text").alias("query"), "text")
 
 
 def digest(c) -> Column:
@@ -124,7 +127,7 @@ def page_of_offset(spark, sf_dir):
 @query
 def paragraph_tails(spark, sf_dir):
     p = page_table(spark, sf_dir)
-    body = F.regexp_replace(F.substring("text", 1, 120), r"[()]", "")
+    body = F.regexp_replace("text", r"[()]", "")
     marked = F.concat(F.when(F.col("page_number") % 4 == 1, F.lit("12 and 13), ")).otherwise(F.lit("")), body, F.when(F.col("page_number") % 5 == 0, F.lit(" see (paragraph ")).otherwise(F.lit("")))
     return pages.without_paragraph_tails(p.withColumn("text", marked)).select("source", "page_number", "text")
 
@@ -158,7 +161,7 @@ def page_filters(spark, sf_dir):
 def metadata_flags(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     extra = F.element_at(F.array(*[F.lit(x) for x in ("", " Crown copyright 2020.", " ISBN 978-1-5286-2222-3 Printed in the UK", " Open Government Licence; Crown Copyright")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    t = docs.select("doc_id", F.concat(F.substring("text", 1, 60), extra).alias("t"))
+    t = docs.select("doc_id", F.concat("text", extra).alias("t"))
     return t.select("doc_id", pages.is_metadata_page("t").alias("metadata"), digest(pages.strip_licence("t")).alias("stripped_md5"))
 
 
@@ -171,7 +174,7 @@ def page_pipeline(spark, sf_dir):
 
 @query
 def passage_flags(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 180).alias("t"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     return t.select("doc_id", T.is_title_only("t").alias("title_only"), T.is_contents("t").alias("contents"), T.is_structural("t").alias("structural"))
 
 
@@ -196,7 +199,7 @@ def sentences(spark, sf_dir):
 @query
 def headings(spark, sf_dir):
     lead = F.element_at(F.array(*[F.lit(x) for x in bank.LEADS]), (F.col("doc_id") % len(bank.LEADS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.heading(F.concat(lead, F.substring("text", 1, 80))).alias("heading"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.heading(F.concat(lead, "text")).alias("heading"))
 
 
 @query
@@ -249,7 +252,7 @@ def source_titles(spark, sf_dir):
 def find_on_page(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("wanted"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    near = evaluate.anchors_in(b.select(F.col("item_id").alias("anchor_id"), F.array_join(F.slice(T.words("wanted"), 2, 6), " ").alias("anchor")), d.select(F.col("doc_id").alias("chunk_id"), "text"))
+    near = evaluate.anchors_in(b.select(F.col("item_id").alias("anchor_id"), F.array_join(F.slice(T.words("wanted"), 2, 6), " ").alias("anchor")), d.select(F.col("doc_id").alias("chunk_id"), "text"), save=store(spark))
     j = near.join(b, F.col("anchor_id") == F.col("item_id")).join(d, F.col("chunk_id") == F.col("doc_id"))
     return j.select("item_id", "doc_id", pages.find_on_page("text", "wanted").alias("hit")).select("item_id", "doc_id", "hit.kind", "hit.at")
 
@@ -257,9 +260,14 @@ def find_on_page(spark, sf_dir):
 # -- retrieval ------------------------------------------------------------------------------------
 
 
+def found_passages(spark, sf_dir, k: int) -> DataFrame:
+    save = store(spark)
+    return search.keyword_search(save(passages(spark, sf_dir), "passages"), questions(spark, sf_dir), k, save)
+
+
 @query
 def keyword_search(spark, sf_dir):
-    return search.keyword_search(passages(spark, sf_dir), questions(spark, sf_dir), 5).select("query_id", "rank", "chunk_id", "source", six("score").alias("score"))
+    return found_passages(spark, sf_dir, 5).select("query_id", "rank", "chunk_id", "source", six("score").alias("score"))
 
 
 @query
@@ -270,18 +278,19 @@ def idf_weights(spark, sf_dir):
 @query
 def scoped_search(spark, sf_dir):
     """Weights are fitted inside the scope, so the filter comes first."""
-    scope = passages(spark, sf_dir).where("source in ('src1', 'src2')")
-    return search.keyword_search(scope, questions(spark, sf_dir), 3).select("query_id", "rank", "chunk_id", six("score").alias("score"))
+    save = store(spark)
+    scope = save(passages(spark, sf_dir).where("source in ('src1', 'src2')"), "scope")
+    return search.keyword_search(scope, questions(spark, sf_dir), 3, save).select("query_id", "rank", "chunk_id", six("score").alias("score"))
 
 
 def dense_passages(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.substring("text", 1, 2000).alias("text")).join(e, "chunk_id")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text").join(e, "chunk_id")
 
 
 def dense_questions(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return questions(spark, sf_dir, 5).where("query_id < 20").select("query_id", "query").join(e, "query_id")
+    return questions(spark, sf_dir).select("query_id", "query").join(e, "query_id")
 
 
 @query
@@ -291,7 +300,7 @@ def semantic_search(spark, sf_dir):
 
 @query
 def hybrid_search(spark, sf_dir):
-    return search.hybrid_search(dense_passages(spark, sf_dir), dense_questions(spark, sf_dir), 5, sources=["src1"]).select("query_id", "rank", "chunk_id", six("score").alias("score"))
+    return search.hybrid_search(dense_passages(spark, sf_dir), dense_questions(spark, sf_dir), 5, sources=["src1"], save=store(spark)).select("query_id", "rank", "chunk_id", six("score").alias("score"))
 
 
 @query
@@ -302,7 +311,7 @@ def source_boost(spark, sf_dir):
 
 @query
 def enriched_results(spark, sf_dir):
-    found = search.keyword_search(passages(spark, sf_dir), questions(spark, sf_dir), 3).join(questions(spark, sf_dir).select("query_id", "query"), "query_id")
+    found = found_passages(spark, sf_dir, 3).join(questions(spark, sf_dir).select("query_id", "query"), "query_id")
     return search.enrich(found).select("query_id", "chunk_id", F.array_join("matched_terms", " ").alias("matched_terms"), "confidence", "heading")
 
 
@@ -319,7 +328,7 @@ def query_types(spark, sf_dir):
 @query
 def anchors(spark, sf_dir):
     a = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("anchor_id"), F.col("text").alias("anchor"))
-    return evaluate.anchors_in(a, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return evaluate.anchors_in(a, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), save=store(spark))
 
 
 @query
@@ -333,7 +342,7 @@ def labelled_results(spark, sf_dir) -> DataFrame:
     kind = F.when(F.col("query_id") % 3 == 0, "exact").when(F.col("query_id") % 3 == 1, "broad").otherwise("topic")
     docs = F.when(F.col("query_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(*[F.lit(f"src{i}") for i in range(0, 20, 2)]))
     known = q.select("query_id", kind.alias("query_type"), docs.alias("expected_docs"), F.slice(T.query_terms("query"), 1, 4).alias("expected_keywords"), F.when(F.col("query_id") % 5 == 0, F.array_join(F.slice(T.words("text"), 1, 6), " ")).alias("anchor"))
-    found = search.keyword_search(passages(spark, sf_dir), q, 5).select("query_id", "rank", "chunk_id", "source", "text", "score").withColumn("mode", F.lit("keyword"))
+    found = store(spark)(found_passages(spark, sf_dir, 5).select("query_id", "rank", "chunk_id", "source", "text", "score").withColumn("mode", F.lit("keyword")), "found")
     alone = found.where("rank <= 3").withColumn("mode", F.lit("short"))
     return evaluate.label_results(found.unionByName(alone), known).join(q.select("query_id", "query"), "query_id")
 
@@ -399,7 +408,7 @@ def recommendations(spark, sf_dir) -> DataFrame:
 
 
 def reply_units(spark, sf_dir) -> DataFrame:
-    asked = turns(spark, sf_dir, "user", "unit_id").select("pair_id", "unit_id", F.array_join(F.slice(T.words(T.squeeze("text")), 1, 12), " ").alias("echo"))
+    asked = turns(spark, sf_dir, "user", "unit_id").select("pair_id", "unit_id", T.squeeze("text").alias("echo"))
     labels = F.when(F.col("unit_id") % 2 == 0, F.array((F.col("unit_id") + 1).cast("string"), F.lit("9"))).otherwise(F.array(F.lit("x"), F.lit("9")))
     u = turns(spark, sf_dir, "assistant", "unit_id").withColumnRenamed("text", "response_text").join(asked, ["pair_id", "unit_id"], "left")
     quoted = F.when(F.col("pair_id") % 2 == 0, F.col("echo"))
@@ -420,20 +429,20 @@ def label_index(spark, sf_dir):
 
 @query
 def unit_matches(spark, sf_dir):
-    m = align.match_units(recommendations(spark, sf_dir), reply_units(spark, sf_dir))
+    m = align.match_units(recommendations(spark, sf_dir), reply_units(spark, sf_dir), save=store(spark))
     return m.select("pair_id", "rec_id", "unit_id", "match_method", six("score").alias("score"), "primary")
 
 
 @query
 def ordinal_matches(spark, sf_dir):
-    m = align.match_ordinal(recommendations(spark, sf_dir), reply_units(spark, sf_dir))
+    m = align.match_ordinal(recommendations(spark, sf_dir), reply_units(spark, sf_dir), save=store(spark))
     return m.select("pair_id", "rec_id", "unit_id", "match_method", six("score").alias("score"))
 
 
 @query
 def best_matches(spark, sf_dir):
     recs, u = recommendations(spark, sf_dir), reply_units(spark, sf_dir)
-    m = align.match_units(recs, u)
+    m = store(spark)(align.match_units(recs, u, save=store(spark)), "matches")
     shared = align.shared_units(m).select("pair_id", "unit_id", F.lit(True).alias("shared"))
     b = align.best_match(recs, m).join(shared, ["pair_id", "unit_id"], "left")
     return b.select("pair_id", "rec_id", "unit_id", "match_method", six("score").alias("score"), align.status(F.col("match_method"), F.coalesce("shared", F.lit(False)), F.coalesce("score", F.lit(0.0))).alias("status"))
@@ -441,7 +450,7 @@ def best_matches(spark, sf_dir):
 
 @query
 def alignment_summary(spark, sf_dir):
-    return report.by_method(align.match_units(recommendations(spark, sf_dir), reply_units(spark, sf_dir)))
+    return report.by_method(align.match_units(recommendations(spark, sf_dir), reply_units(spark, sf_dir), save=store(spark)))
 
 
 # -- stance, confidence, export -------------------------------------------------------------------
@@ -449,7 +458,7 @@ def alignment_summary(spark, sf_dir):
 
 def replies(spark, sf_dir) -> DataFrame:
     phrase = F.element_at(F.array(*[F.lit(x) for x in bank.REPLIES]), (F.col("doc_id") % len(bank.REPLIES) + 1).cast("int"))
-    tail = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.substring("text", 1, 150)))
+    tail = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), "text"))
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(phrase, tail).alias("matched_text"), (F.col("doc_id") % 10 / 10.0).alias("similarity"), F.element_at(F.array(*[F.lit(x) for x in bank.METHODS]), (F.col("doc_id") % len(bank.METHODS) + 1).cast("int")).alias("match_method"))
 
 
@@ -566,7 +575,7 @@ def report_pages(spark, sf_dir) -> DataFrame:
 
 @query
 def recommendations_found(spark, sf_dir):
-    return extract.extract(report_pages(spark, sf_dir)).select("source", "rec_id", "item_label", "detector", "confidence", "page_number", "last_page", F.substring("text", 1, 200).alias("text"))
+    return extract.extract(report_pages(spark, sf_dir)).select("source", "rec_id", "item_label", "detector", "confidence", "page_number", "last_page", "text")
 
 
 @query
@@ -614,11 +623,7 @@ def best_candidates(spark, sf_dir):
 
 
 def shared(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/lectern-core"
-    return f"{at.rstrip('/')}/core-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/core-{uuid.uuid4().hex}"
 
 
 @query
