@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,31 +12,29 @@ STOPWORDS = (
     "a an and are as at be by for from has have in is it its of on or that the their there this to was were will with about into after before"
 ).split()
 
-#: Latin-1 letters with a canonical decomposition, and their base letters.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
+def _plain(c: str) -> str:
+    """A character's compatibility decomposition without marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
-def _c(text) -> Column:
-    return F.col(text) if isinstance(text, str) else text
 
-
-def decompose(text) -> Column:
-    """Canonical decomposition without marks for Latin-1 letters; other marks are dropped where they stand alone."""
-    return F.regexp_replace(F.translate(_c(text), ACCENTED, "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"), r"\p{M}", "")
+#: Built from the rule above for all letters of the basic plane but Hangul: those that become one character, and those that become several.
+ONE = {chr(k): p for k in [*range(0xA0, 0xAC00), *range(0xF900, 0xFFFE)] if len(p := _plain(chr(k))) == 1 and p != chr(k) and ord(p) < 0x10000}
+#: Of the latter the ligatures, fractions and signs of Western text.
+SEVERAL = {c: _plain(c) for c in "ﬀﬁﬂﬃﬄﬅﬆ…½¼¾™ŉǆ"}
 
 
-def nfkd_udf():
-    """Arrow function for full NFKD, for text beyond Latin-1 (Spark has no builtin)."""
-    import unicodedata
-
-    import pandas as pd
+def _c(text) -> Column:
+    return F.col(text) if isinstance(text, str) else text
 
-    @F.pandas_udf("string")
-    def nfkd(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
-    return nfkd
+def decompose(text) -> Column:
+    """Compatibility decomposition without marks; texts without a character of several are not searched for each of them."""
+    t = F.regexp_replace(F.translate(_c(text), "".join(ONE), "".join(ONE.values())), r"\p{M}", "")
+    many = t
+    for c, plain in SEVERAL.items():
+        many = F.replace(many, F.lit(c), F.lit(plain))
+    return F.when(t.rlike("[" + "".join(SEVERAL) + "]"), many).otherwise(t)
 
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:

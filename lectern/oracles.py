@@ -375,3 +375,39 @@ SQL["stage_status"] = """WITH e AS (SELECT (user_id % 50)::VARCHAR AS pair_id, e
 SQL["windowed_events"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
 SQL["first_per_group"] = "SELECT o_custkey, rank, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders) WHERE rank <= 2"
 SQL["priority_pivot"] = "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_orderpriority"
+
+# -- views, truth ---------------------------------------------------------------------------------
+
+SQL["detector_labels"] = "SELECT doc_id, ['explicit label', 'structured section', 'embedded / heuristic', 'X'][(doc_id % 4 + 1)::INT] || CASE WHEN doc_id % 3 = 0 THEN ' (OCR-derived)' ELSE '' END AS shown FROM documents"
+SQL["display_rows"] = f"""WITH {MATCHES}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, rec_id ORDER BY (match_method <> 'exact_label')::INT, round(score, 9) DESC, unit_id) AS k FROM matches) WHERE k = 1),
+  c AS (SELECT pair_id, rec_id, count(*) AS n FROM matches GROUP BY ALL)
+SELECT u.pair_id, u.l::INT AS rec_id, CASE WHEN u.pair_id % 3 = 0 THEN 'Recommendation ' || (u.l + 1) || '.' ELSE (u.l + 1)::VARCHAR END AS shown, b.unit_id::INT AS unit_id, b.match_method, round(b.score, 6) AS score, coalesce(c.n, 0) AS n_matches,
+  CASE WHEN coalesce(b.score, 0) >= 0.5 THEN 'matched' WHEN coalesce(b.score, 0) >= 0.3 THEN 'weak' ELSE 'none' END AS status FROM u LEFT JOIN b ON b.pair_id = u.pair_id AND b.rec_id = u.l LEFT JOIN c ON c.pair_id = u.pair_id AND c.rec_id = u.l"""
+SQL["page_units"] = f"WITH {MERGED}, t AS (SELECT source, page_number, count(*) AS n_chunks, string_agg(text, ' ' ORDER BY ix) AS t FROM chunks GROUP BY ALL) SELECT source || '::' || page_number AS uid, n_chunks, {digest('t')} AS text_md5 FROM t"
+SQL["pair_lookup"] = f"WITH {PASSAGES} SELECT chunk_id, source, CASE WHEN page_number % 3 <> 1 THEN 'pair-' || source END AS pair_id FROM passages"
+SQL["row_lookup"] = f"WITH {PRED}, f AS (SELECT pair_id, (doc_id % 40)::VARCHAR AS id, min(doc_id) AS d FROM pr GROUP BY ALL), a AS (SELECT 'src' || n_nationkey AS pair_id, n_nationkey::VARCHAR AS id FROM nation) SELECT a.pair_id, a.id, f.d AS at, pr.label FROM a LEFT JOIN f ON f.pair_id = a.pair_id AND f.id = a.id LEFT JOIN pr ON pr.doc_id = f.d"
+_kind = "CASE item_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'broad' ELSE 'topic' END"
+SQL["type_summary"] = f"SELECT {_kind} AS query_type, count(*) AS n_queries, sum((item_id % 5 = 0 AND text IS NOT NULL)::INT)::BIGINT AS n_anchors FROM benchmark GROUP BY 1"
+SQL["run_matrix"] = f"""WITH {PASSAGES}, {keyword('passages', 5)}, m AS (SELECT query_id, rank, chunk_id, 'keyword' AS mode FROM found UNION ALL SELECT query_id, rank, chunk_id, 'short' FROM found WHERE rank <= 3)
+SELECT * FROM m WHERE mode = 'keyword' OR query_id % 3 <> 0"""
+SQL["recall_pivot"] = f"WITH r AS ({SQL['retrieval_metrics']}) SELECT query_type, coalesce(max(recall_at_5) FILTER (mode = 'keyword'), 0.0) AS keyword, coalesce(max(recall_at_5) FILTER (mode = 'short'), 0.0) AS short FROM r WHERE query_type <> 'ALL' GROUP BY query_type"
+_k = "coalesce(label, 'not_addressed')"
+SQL["counters"] = f"WITH {PRED} SELECT count(*) AS shown, " + ", ".join(f"count(*) FILTER ({_k} = '{x}') AS {x}" for x in ("accepted", "partial", "rejected", "not_addressed")) + ", round(coalesce(avg(confidence), 0), 6) AS mean_confidence FROM pr WHERE coalesce(confidence, 0) >= 0.2"
+SQL["stage_summary"] = f"WITH {PRED} SELECT pair_id, count(*) AS recommendations, count(*) FILTER (method IS NOT NULL AND coalesce(score, 0) > 0) AS aligned, count(label) AS classified, round(avg(score), 6) AS mean_alignment, round(avg(confidence), 6) AS mean_confidence FROM pr GROUP BY pair_id"
+SQL["sources_found"] = f"WITH {PASSAGES}, {keyword('passages', 5)} SELECT source, count(*) AS n FROM found GROUP BY source"
+SQL["filter_values"] = f"WITH {PRED} SELECT DISTINCT * FROM (SELECT 'pair_id' AS field, pair_id AS value FROM pr UNION ALL SELECT 'label', label FROM pr UNION ALL SELECT 'match_method', method FROM pr) WHERE value IS NOT NULL"
+SQL["issues"] = f"""WITH {PRED} SELECT 'low_confidence' AS issue, pair_id, id FROM pr WHERE confidence < 0.5 UNION ALL SELECT 'confidence_factors', pair_id, id FROM pr WHERE len(factors) > 0 UNION ALL SELECT 'rejected', pair_id, id FROM pr WHERE label = 'rejected'
+UNION ALL SELECT 'not_addressed', pair_id, id FROM pr WHERE {_k} = 'not_addressed' UNION ALL SELECT 'fallback', pair_id, id FROM pr WHERE method IN ('chunk_fallback', 'sequence_correction')"""
+_grid = "SELECT t.l AS truth, p.l AS prediction, (SELECT count(*) FROM tp WHERE tp.truth = t.l AND tp.prediction = p.l) AS n FROM ls t CROSS JOIN ls p"
+_truth = PAIRS.replace("SELECT CASE", "SELECT doc_id, CASE", 1)
+SQL["truth_by_label"] = f"WITH {_truth}, tp AS (SELECT CASE WHEN doc_id % 5 <> 2 THEN truth ELSE 'not_addressed' END AS truth, prediction FROM lp) {_grid}"
+SQL["truth_by_position"] = f"WITH {_truth}, tp AS (SELECT CASE WHEN doc_id < 100 THEN truth ELSE 'not_addressed' END AS truth, prediction FROM lp) {_grid}"
+SQL["benchmark_rows"] = f"WITH {PRED} SELECT pair_id, id, label, CASE WHEN doc_id % 4 = 0 THEN 'partially_accepted' END AS true_label, CASE WHEN doc_id % 4 = 0 THEN coalesce(label, '') = 'partial' END AS correct FROM pr"
+SQL["truth_status"] = "SELECT *, CASE WHEN n_truth = 0 THEN 'no ground truth' WHEN n_truth <> n_predictions THEN 'counts differ' ELSE 'available' END AS status FROM (SELECT (SELECT count(*) FROM labels) AS n_predictions, (SELECT count(*) FROM documents) AS n_truth)"
+SCORES = f"""{PASSAGES}, {keyword('passages', 5)}, {HITS}, rel AS (SELECT DISTINCT hits.anchor_id AS query_id, passages.chunk_id FROM hits JOIN passages ON passages.page_number = hits.chunk_id),
+  h AS (SELECT f.query_id, f.rank FROM found f JOIN rel ON rel.query_id = f.query_id AND rel.chunk_id = f.chunk_id), p AS (SELECT query_id, count(*) FILTER (rank <= 3) AS h3, count(*) FILTER (rank <= 5) AS h5, min(rank) AS first FROM h GROUP BY query_id),
+  got AS (SELECT query_id, count(*) AS n FROM found GROUP BY query_id), rc AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY query_id),
+  sc AS (SELECT query_id, relevant, coalesce(got.n, 0) AS retrieved, coalesce(h3, 0) AS hits_at_3, coalesce(h5, 0) AS hits_at_5, round(coalesce(h3, 0) / 3, 6) AS precision_at_3, round(coalesce(h5, 0) / relevant, 6) AS recall_at_5, round(coalesce(1 / first, 0), 6) AS mrr, first::INT AS first_relevant_rank
+    FROM rc LEFT JOIN got USING (query_id) LEFT JOIN p USING (query_id))"""
+SQL["retrieval_scores"] = f"WITH {SCORES} SELECT * FROM sc"
+SQL["retrieval_summary"] = f"WITH {SCORES}, a AS (SELECT count(*)::DOUBLE AS n, avg(precision_at_3) AS p, avg(recall_at_5) AS r, avg(mrr) AS m FROM sc) SELECT 'Queries' AS metric, n AS value FROM av UNION ALL SELECT 'Mean Precision@3', round(p, 6) FROM av UNION ALL SELECT 'Mean Recall@5', round(r, 6) FROM av UNION ALL SELECT 'Mean MRR', round(m, 6) FROM av"

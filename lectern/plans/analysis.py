@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import align, classify, extract, units
+from lectern.sources.store import Save, planned
 
 STAGES = ("load", "extract", "align", "classify")
 
@@ -22,10 +23,10 @@ def replies(response_pages: DataFrame) -> DataFrame:
     return units.normalised_labels(units.response_units(response_pages)).withColumnRenamed("source", "pair_id")
 
 
-def matches(recs: DataFrame, reply_units: DataFrame, chunks: DataFrame | None = None, k: int = 3, threshold: float = 0.05) -> DataFrame:
+def matches(recs: DataFrame, reply_units: DataFrame, chunks: DataFrame | None = None, k: int = 3, threshold: float = 0.05, save: Save = planned) -> DataFrame:
     """Unit matches for pairs with two units or more; for the others similar passages of ``chunks`` where given."""
     many = reply_units.groupBy("pair_id").agg(F.count("*").alias("n")).where("n >= 2").select("pair_id")
-    by_unit = align.match_units(recs.join(many, "pair_id", "left_semi"), reply_units.join(many, "pair_id", "left_semi"), k, threshold)
+    by_unit = align.match_units(recs.join(many, "pair_id", "left_semi"), reply_units.join(many, "pair_id", "left_semi"), k, threshold, save=save)
     by_unit = by_unit.join(reply_units.select("pair_id", "unit_id", F.col("response_text").alias("matched_text"), F.col("page_start").alias("matched_page")), ["pair_id", "unit_id"])
     if chunks is None:
         return by_unit
@@ -46,9 +47,10 @@ def export(recs: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def analyse(report_pages: DataFrame, response_pages: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    recs, reply_units = recommendations(report_pages), replies(response_pages)
-    return export(recs, matches(recs, reply_units, chunks))
+def analyse(report_pages: DataFrame, response_pages: DataFrame, chunks: DataFrame | None = None, save: Save = planned) -> DataFrame:
+    """Export rows of all pairs; ``save`` keeps each stage's table for the next one."""
+    recs, reply_units = save(recommendations(report_pages), "recommendations"), save(replies(response_pages), "replies")
+    return export(recs, save(matches(recs, reply_units, chunks, save=save), "matches"))
 
 
 def ready(status: dict[str, str], stage: str) -> bool:

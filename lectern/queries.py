@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lectern import bank
 from lectern.functions import text as T
-from lectern.operators import align, chunks, classify, evaluate, extract, pages, report, search, units, validate
+from lectern.operators import align, chunks, classify, evaluate, extract, pages, report, search, units, validate, views
+from lectern.plans import analysis
 from lectern.oracles import SQL  # noqa: F401
 from lectern.sources import io
 from lectern.sources.store import shared_dir, store
@@ -676,3 +677,154 @@ def first_per_group(spark, sf_dir):
 @query
 def priority_pivot(spark, sf_dir):
     return report.crosstab(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+
+
+# -- views, truth, whole analysis -----------------------------------------------------------------
+
+
+@query
+def detector_labels(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("detector", F.element_at(F.array(*[F.lit(x) for x in "ABCX"]), (F.col("doc_id") % 4 + 1).cast("int"))).withColumn("ocr", F.col("doc_id") % 3 == 0)
+    return d.select("doc_id", views.detector_label("detector", "ocr").alias("shown"))
+
+
+@query
+def display_rows(spark, sf_dir):
+    recs = recommendations(spark, sf_dir)
+    save = store(spark)
+    matches = save(align.match_units(recs, reply_units(spark, sf_dir), save=save), "matches")
+    return views.display_rows(recs, matches).withColumn("score", six("score"))
+
+
+@query
+def page_units(spark, sf_dir):
+    return views.with_uid(views.page_units(passages(spark, sf_dir)), "source", "page_number").select("uid", "n_chunks", digest("text").alias("text_md5"))
+
+
+@query
+def pair_lookup(spark, sf_dir):
+    c = passages(spark, sf_dir)
+    corpus = c.where("page_number % 3 <> 1").select("chunk_id", "source", F.concat(F.lit("pair-"), F.col("source")).alias("pair_id"))
+    return views.pair_of(c.select("chunk_id", "source"), corpus)
+
+
+@query
+def row_lookup(spark, sf_dir):
+    rows = predictions(spark, sf_dir).select("pair_id", (F.col("id").cast("long") % 40).cast("string").alias("id"), F.col("id").cast("long").alias("at"), "label")
+    asked = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey")).alias("pair_id"), F.col("n_nationkey").cast("string").alias("id"))
+    return views.row_of(asked, rows, "at")
+
+
+def query_bank(spark, sf_dir) -> DataFrame:
+    modes = F.when(F.col("query_id") % 3 == 0, F.array(F.lit("keyword"))).when(F.col("query_id") % 3 == 1, F.array(F.lit("keyword"), F.lit("short")))
+    kind = F.when(F.col("query_id") % 3 == 0, "exact").when(F.col("query_id") % 3 == 1, "broad").otherwise("topic")
+    return questions(spark, sf_dir).withColumn("search_modes", modes).withColumn("query_type", kind).withColumn("anchor", F.when(F.col("query_id") % 5 == 0, F.col("text")))
+
+
+@query
+def type_summary(spark, sf_dir):
+    return views.type_summary(query_bank(spark, sf_dir))
+
+
+@query
+def run_matrix(spark, sf_dir):
+    found = store(spark)(found_passages(spark, sf_dir, 5).select("query_id", "rank", "chunk_id", F.lit("keyword").alias("mode")), "found")
+    return views.run_matrix(query_bank(spark, sf_dir), found.unionByName(found.where("rank <= 3").withColumn("mode", F.lit("short"))))
+
+
+@query
+def recall_pivot(spark, sf_dir):
+    return views.recall_pivot(retrieval_metrics(spark, sf_dir), ["keyword", "short"])
+
+
+@query
+def counters(spark, sf_dir):
+    return views.counters(report.filter_rows(predictions(spark, sf_dir), least=0.2))
+
+
+@query
+def stage_summary(spark, sf_dir):
+    return views.stage_summary(predictions(spark, sf_dir))
+
+
+@query
+def sources_found(spark, sf_dir):
+    return views.sources_found(found_passages(spark, sf_dir, 5))
+
+
+@query
+def filter_values(spark, sf_dir):
+    return views.filter_values(predictions(spark, sf_dir), ["pair_id", "label", "match_method"])
+
+
+@query
+def issues(spark, sf_dir):
+    return views.issues(predictions(spark, sf_dir))
+
+
+@query
+def truth_by_label(spark, sf_dir):
+    p = label_pairs(spark, sf_dir).select(F.concat(F.lit(" L"), F.col("doc_id")).alias("item_label"), F.col("prediction").alias("label"))
+    t = label_pairs(spark, sf_dir).where("doc_id % 5 <> 2").select(F.concat(F.lit("l"), F.col("doc_id"), F.lit(" ")).alias("item_label"), "truth")
+    return evaluate.confusion(views.truth_by_label(p, t).withColumnRenamed("label", "prediction"))
+
+
+@query
+def truth_by_position(spark, sf_dir):
+    p = label_pairs(spark, sf_dir).select(F.col("doc_id").alias("position"), "prediction")
+    return evaluate.confusion(views.truth_by_position(p, label_pairs(spark, sf_dir).where("doc_id < 100").select(F.col("doc_id").alias("position"), "truth")))
+
+
+@query
+def truth_status(spark, sf_dir):
+    return views.truth_status(label_pairs(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+@query
+def benchmark_rows(spark, sf_dir):
+    truth = predictions(spark, sf_dir).where("id % 4 = 0").select("pair_id", "id", F.lit("Partially-Accepted").alias("truth"))
+    return views.benchmark_rows(predictions(spark, sf_dir), truth).select("pair_id", "id", "label", "true_label", "correct")
+
+
+@query
+def retrieval_scores(spark, sf_dir):
+    """Passages of the documents that hold a benchmark item are the relevant ones of its query."""
+    save = store(spark)
+    every = save(passages(spark, sf_dir), "passages")
+    held = anchors(spark, sf_dir).select(F.col("anchor_id").alias("query_id"), F.col("chunk_id").alias("page_number"))
+    found = search.keyword_search(every, questions(spark, sf_dir), 5, save)
+    return views.retrieval_scores(found, every.join(held, "page_number").select("query_id", "chunk_id"))
+
+
+@query
+def retrieval_summary(spark, sf_dir):
+    return views.retrieval_summary(store(spark)(retrieval_scores(spark, sf_dir), "scores"))
+
+
+@query
+def next_sections(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.lit(". 12: Further matters of note")).otherwise(F.lit(" 12 more"))).alias("t"))
+    return d.select("doc_id", digest(views.without_next_section("t")).alias("text_md5"))
+
+
+@query
+def repeats_cut(spark, sf_dir):
+    r, u = recommendations(spark, sf_dir).withColumnRenamed("text", "rec"), reply_units(spark, sf_dir)
+    j = r.join(u, (r.pair_id == u.pair_id) & (r.rec_id == u.unit_id)).select(r.pair_id, "rec_id", "rec", F.col("full_unit_text").alias("block"), F.col("response_text").alias("response"))
+    return j.select("pair_id", "rec_id", digest(views.without_repeat("rec", "block", "response")).alias("text_md5"))
+
+
+def analysed(spark, sf_dir) -> DataFrame:
+    """The whole analysis of the bank's report and response, one copy for each source."""
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+
+    def pages_of(rows) -> DataFrame:
+        own = spark.createDataFrame(rows, "n int, text string")
+        return sources.crossJoin(F.broadcast(own)).select("source", F.col("n").alias("page_number"), "text", F.lit(False).alias("ocr"))
+
+    return analysis.analyse(pages_of(bank.REPORT), pages_of(bank.RESPONSE), save=store(spark))
+
+
+@query
+def whole_analysis(spark, sf_dir):
+    return validate.flatten(analysed(spark, sf_dir)).select("document_pair", "id", "recommendation_text", "matched_response_text", "classification", "confidence", "debug_alignment_method")
