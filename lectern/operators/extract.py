@@ -10,6 +10,7 @@ splitting the page again for each level.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.sources.store import Save, planned
 
 CANDIDATE = "source string, page_number int, span_id string, text string, detector string, label string, level string, ocr boolean"
 
@@ -383,12 +385,35 @@ def finalise(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return out.withColumn("item_label", shown).withColumn("rec_id", F.row_number().over(order) - 1)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Recommendations of all documents; those without candidates fall back to response headings where they have them."""
-    found = candidates(pages)
-    rest = pages.join(found.select("source").distinct(), "source", "left_anti")
-    main = finalise(found, pages).select("source", "rec_id", "item_label", "text", "detector", "confidence", "page_number", "last_page", "ocr", "span_id")
-    return main.unionByName(response_headings(rest))
+FOUND = ["source", "rec_id", "item_label", "text", "detector", "confidence", "page_number", "last_page", "ocr", "span_id"]
+
+
+def extract(pages: DataFrame, committee: Column | None = None, prefix: str | None = None, save: Save = planned) -> DataFrame:
+    """Recommendations of all documents.
+
+    Documents that ``committee`` marks give the items of their last section of conclusions, where it has some, and nothing else.  The
+    others go through the detectors; only those without a candidate fall back, to paragraphs numbered ``prefix.N`` and then to
+    response headings.
+    """
+    nowhere = [F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("int").alias("last_page"), F.lit(False).alias("ocr")]
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.select("source", "rec_id", "item_label", "text", "detector", "confidence", *nowhere, F.concat_ws("_", "source", "detector", "item_label").alias("span_id"))
+
+    def without(rows: DataFrame, done: DataFrame) -> DataFrame:
+        return rows.join(done.select("source").distinct(), "source", "left_anti")
+
+    out = []
+    if committee is not None:
+        out.append(save(placed(numbered_sections(pages.where(committee))), "sections"))
+        pages = without(pages, out[-1])
+    found = save(candidates(pages), "candidates")
+    out.append(finalise(found, pages).select(*FOUND))
+    rest = without(pages, found)
+    if prefix:
+        out.append(save(placed(inline_paragraphs(rest, prefix)), "paragraphs"))
+        rest = without(rest, out[-1])
+    return reduce(DataFrame.unionByName, [*out, response_headings(rest)])
 
 
 def response_headings(pages: DataFrame) -> DataFrame:
@@ -420,7 +445,7 @@ def response_headings(pages: DataFrame) -> DataFrame:
                 n = int(pdf["page_number"].iloc[page])
                 source = pdf["source"].iloc[0]
                 rows.append((source, len(rows), m[1], block, "F", score, n, n, bool(pdf["ocr"].iloc[page]), f"{source}_p{n}_F{len(rows):03d}"))
-        return pd.DataFrame(rows, columns=["source", "rec_id", "item_label", "text", "detector", "confidence", "page_number", "last_page", "ocr", "span_id"])
+        return pd.DataFrame(rows, columns=FOUND)
 
     schema = "source string, rec_id int, item_label string, text string, detector string, confidence double, page_number int, last_page int, ocr boolean, span_id string"
     return pages.select("source", "page_number", "text", F.coalesce("ocr", F.lit(False)).alias("ocr")).groupBy("source").applyInPandas(run, schema)

@@ -201,7 +201,7 @@ def fuller_body(rows: DataFrame, pages: DataFrame, lead: str = r"(?i)\b(?:we\s+)
     parts = F.split("body", F.concat(F.lit("\\Q"), head, F.lit("\\E")))
     found = asked.where("clause is not null and clause <> ''").join(body, "source")
     places = T.held(found, "parts", parts).where(F.size("parts") > 2)
-    sentence = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.trim(F.regexp_extract(F.substring(F.concat(head, F.array_join(F.slice("parts", i + 1, F.size("parts")), head)), 1, window), stop, 1)))
+    sentence = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.trim(F.regexp_extract(F.substring(F.concat(head, F.call_function("array_join", F.slice("parts", i + 1, F.size("parts")), head)), 1, window), stop, 1)))
     full = T.held(places, "versions", F.filter(sentence, lambda s: F.contains(s, F.lit("(a)"))))
     best = F.aggregate("versions", F.lit(""), lambda a, s: F.when(F.length(s) > F.length(a), s).otherwise(a))
     longer = T.held(full, "best", best).where(F.length("best") > F.length("clause")).select("source", "rec_id", "best")

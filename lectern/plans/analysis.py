@@ -6,17 +6,19 @@ DataFrames to DataFrames, so a stage can be written out and a later one started
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import align, classify, extract, units
+from lectern.operators import align, classify, extract, units, views
 from lectern.sources.store import Save, planned
 
 STAGES = ("load", "extract", "align", "classify")
 
 
-def recommendations(report_pages: DataFrame) -> DataFrame:
-    return extract.extract(report_pages).withColumnRenamed("source", "pair_id")
+def recommendations(report_pages: DataFrame, committee: Column | None = None, prefix: str | None = None, rules: DataFrame | None = None, save: Save = planned) -> DataFrame:
+    """Recommendations of each pair's report, with a corpus's own clean-up ``rules`` applied where it has some."""
+    found = extract.extract(report_pages, committee, prefix, save)
+    return (views.apply_rules(found, rules) if rules is not None else found).withColumnRenamed("source", "pair_id")
 
 
 def replies(response_pages: DataFrame) -> DataFrame:
@@ -47,9 +49,9 @@ def export(recs: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def analyse(report_pages: DataFrame, response_pages: DataFrame, chunks: DataFrame | None = None, save: Save = planned) -> DataFrame:
+def analyse(report_pages: DataFrame, response_pages: DataFrame, chunks: DataFrame | None = None, committee: Column | None = None, prefix: str | None = None, rules: DataFrame | None = None, save: Save = planned) -> DataFrame:
     """Export rows of all pairs; ``save`` keeps each stage's table for the next one."""
-    recs, reply_units = save(recommendations(report_pages), "recommendations"), save(replies(response_pages), "replies")
+    recs, reply_units = save(recommendations(report_pages, committee, prefix, rules, save), "recommendations"), save(replies(response_pages), "replies")
     return export(recs, save(matches(recs, reply_units, chunks, save=save), "matches"))
 
 

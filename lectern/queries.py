@@ -576,7 +576,7 @@ def report_pages(spark, sf_dir) -> DataFrame:
 
 @query
 def recommendations_found(spark, sf_dir):
-    return extract.extract(report_pages(spark, sf_dir)).select("source", "rec_id", "item_label", "detector", "confidence", "page_number", "last_page", "text")
+    return extract.extract(report_pages(spark, sf_dir), save=store(spark)).select("source", "rec_id", "item_label", "detector", "confidence", "page_number", "last_page", "text")
 
 
 @query
