@@ -410,7 +410,7 @@ SCORES = f"""{PASSAGES}, {keyword('passages', 5)}, {HITS}, rel AS (SELECT DISTIN
   sc AS (SELECT query_id, relevant, coalesce(got.n, 0) AS retrieved, coalesce(h3, 0) AS hits_at_3, coalesce(h5, 0) AS hits_at_5, round(coalesce(h3, 0) / 3, 6) AS precision_at_3, round(coalesce(h5, 0) / relevant, 6) AS recall_at_5, round(coalesce(1 / first, 0), 6) AS mrr, first::INT AS first_relevant_rank
     FROM rc LEFT JOIN got USING (query_id) LEFT JOIN p USING (query_id))"""
 SQL["retrieval_scores"] = f"WITH {SCORES} SELECT * FROM sc"
-SQL["retrieval_summary"] = f"WITH {SCORES}, a AS (SELECT count(*)::DOUBLE AS n, avg(precision_at_3) AS p, avg(recall_at_5) AS r, avg(mrr) AS m FROM sc) SELECT 'Queries' AS metric, n AS value FROM av UNION ALL SELECT 'Mean Precision@3', round(p, 6) FROM av UNION ALL SELECT 'Mean Recall@5', round(r, 6) FROM av UNION ALL SELECT 'Mean MRR', round(m, 6) FROM av"
+SQL["retrieval_summary"] = f"WITH {SCORES}, av AS (SELECT count(*)::DOUBLE AS n, avg(precision_at_3) AS p, avg(recall_at_5) AS r, avg(mrr) AS m FROM sc) SELECT 'Queries' AS metric, n AS value FROM av UNION ALL SELECT 'Mean Precision@3', round(p, 6) FROM av UNION ALL SELECT 'Mean Recall@5', round(r, 6) FROM av UNION ALL SELECT 'Mean MRR', round(m, 6) FROM av"
 _next = "trim(regexp_replace(replace(translate(t0, '­\"“”', ''), chr(10), ' '), '[ \t]+', ' ', 'g'))"
 SQL["next_sections"] = f"""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN '. 12: Further matters of note' ELSE ' 12 more' END AS t0 FROM documents), c AS (SELECT doc_id, {_next} AS t FROM d),
   m AS (SELECT *, regexp_extract(t, '^(.*?[.!?])\\s+\\d{{1,2}}\\s*:\\s+[A-Za-z].*$', 1) AS cut FROM c) SELECT doc_id, {digest("CASE WHEN cut <> '' THEN trim(cut) ELSE t END")} AS text_md5 FROM m"""
