@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lectern.llm.common import claim
+
 BLANKS = " \n\t\r"
 PIECES = re.compile(r"[ \n\t\r]*+[^ \n\t\r.,!?]++(?:(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])|(?![.,!?]))|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Blanks other than the four above: Python's and the tokeniser's notions differ on some, so such texts are not cut; nor those with CUT.
@@ -195,10 +197,15 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, long: int = LONG, leaf: int = LEAF) -> Codec:
-    """One per worker process; its cache holds at most two generations of ``CACHE_PIECES`` short pieces."""
+def _codec(path: str, long: int, leaf: int) -> Codec:
     return Codec(path, long, leaf)
 
 
+def codec(path: str, long: int = LONG, leaf: int = LEAF) -> Codec:
+    """One per worker process, until another operator runs in it; its cache holds at most two generations of ``CACHE_PIECES`` short pieces."""
+    claim("bpe", _codec.cache_clear)
+    return _codec(path, long, leaf)
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -36,6 +38,23 @@ def without_names(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None] = lambda: None) -> None:
+    """Called in a task by an operator that keeps a cache in its Python process: those of other operators are released.
+
+    Spark uses a process for one stage after another, so without this the caches of all operators of a job would add up.
+    """
+    others = [k for k in _held if k != owner]
+    for k in others:
+        _held.pop(k)()
+    _held[owner] = release
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 class Workspace:
     """A folder of intermediate tables and files under the shared folder.
 

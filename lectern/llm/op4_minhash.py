@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Workspace, components, n_parts, slices
+from lectern.llm.common import Workspace, claim, components, n_parts, slices
 from lectern.llm.op9_itq import smallest
 
 HALVES, ROWS, CHUNK = 10, 3, 1024
 SHINGLES = 1 << 21
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 GOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -182,8 +182,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def signature(batches):
+        claim("minhash", _words.clear)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 256, 1 << 20):
                 sets = [shingles(t, size) for t in part.column(1).to_pylist()]
                 fps = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 halves = [half_keys(s).tobytes() if len(s) else None for s in sets]
@@ -212,6 +213,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     texts = ws.save(docs.join(weighed.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
 
     def cells(batches, keys: int, work):
+        claim("minhash", _words.clear)
         for table in grouped(batches, keys):
             sets = [shingles(t, size) for t in table["text"].to_pylist()]
             edges = work(table, table["id"].to_numpy(), sets)

@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import slices, without_names
+from lectern.llm.common import claim, slices, without_names
 
 ORDER, SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_CHARS = 4, 200, 20_000, 100_000
 EVIDENCE = 32
-BLOCK, CELLS = 1 << 18, 1 << 22
+BLOCK, CELLS = 1 << 18, 1 << 21
 NONE = "und"
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -194,6 +194,7 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     number = id(trees)
 
     def run(batches):
+        claim("language", _coders.clear)
         model = sent.value
         coder = _coders.get(number)
         if coder is None or coder.trees is not model:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import Workspace, fresh, slices, without_names
+from lectern.llm.common import Workspace, claim, fresh, slices, without_names
 
 RUN, LONG = 16, 32
 WIDE, NARROW = 2, 4
@@ -131,6 +131,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", remov
 
     def hashed(places: bool):
         def run(batches):
+            claim("spans")
             for batch in batches:
                 for part in slices(batch):
                     h1, h2, rows, at = [], [], [], []
