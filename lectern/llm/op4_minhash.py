@@ -34,7 +34,7 @@ from lectern.llm.common import Workspace, claim, components, n_parts, slices
 from lectern.llm.op9_itq import smallest
 
 HALVES, ROWS, CHUNK = 10, 3, 1024
-SHINGLES = 1 << 21
+SHINGLES = 1 << 20
 WORDS_KEPT = 150_000
 GOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
