@@ -106,11 +106,17 @@ def linked_pairs(sets: list[np.ndarray], percent: int, split: int | None = None)
     n, ref = len(sets), sets[0]
     edits = [np.setxor1d(s, ref, assume_unique=True) for s in sets]
     sizes, counts = np.array([len(s) for s in sets], "i8"), np.array([len(e) for e in edits], "i8")
-    values, column, times = np.unique(np.concatenate(edits), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), counts)
-    shared = times[column] > 1  # an edit of one row alone meets no other
-    order = np.argsort(column[shared], kind="stable")
-    row, column = row[shared][order], np.unique(column[shared], return_inverse=True)[1][order]
+    values, row = np.concatenate(edits), np.repeat(np.arange(n, dtype="i4"), counts)
+    del edits
+    order = np.argsort(values)
+    values, row = values[order], row[order]
+    del order
+    first, last = np.ones(len(values), bool), np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    last[:-1] = first[1:]
+    shared = ~(first & last)  # an edit of one row alone meets no other
+    row, column = row[shared], np.cumsum(first[shared], dtype="i4") - 1
+    del values
     both = np.zeros((n, n) if split is None else (split, n - split), "f4")
     width = max(256, (1 << 22) // n)
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
