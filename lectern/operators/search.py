@@ -7,8 +7,11 @@ Ties go to the smaller chunk id.  Scope filters go before ``build_index``, since
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,3 +182,52 @@ def enrich(results: DataFrame, text: str = "text", query: str = "query") -> Data
 
 def mix_label(alpha: Column) -> Column:
     return F.when(alpha >= 0.7, "keyword-heavy").when(alpha >= 0.45, "balanced").otherwise("semantic-heavy")
+
+
+# -- encoders and retrievers ----------------------------------------------------------------------
+
+RETRIEVERS = ("tfidf", "semantic", "hybrid")
+#: An encoder: texts to one row of numbers each.  What makes one is called once a task, so a model is loaded there and not per row.
+Encoder = Callable[[list[str]], np.ndarray]
+
+
+def embed(rows: DataFrame, make: Callable[[], Encoder], text: str = "text", name: str = "embedding", block: int = 64) -> DataFrame:
+    """The table with the text's vector of length 1 (a zero vector stays, a null text counts as empty), in Arrow batches."""
+
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make()
+        for part in parts:
+            texts, out = part.fillna("").tolist(), []
+            for at in range(0, len(texts), block):
+                v = np.asarray(encode(texts[at : at + block]), "f8")
+                size = np.linalg.norm(v, axis=1, keepdims=True)
+                out += list(np.divide(v, size, out=np.zeros_like(v), where=size > 0))
+            yield pd.Series(out, dtype=object)
+
+    return rows.withColumn(name, F.pandas_udf(vectors, "array<double>")(F.col(text)))
+
+
+def retriever_for(asked: str, *tables: DataFrame) -> str:
+    """The retriever that these tables allow: without ``embedding`` in each of them it is ``tfidf``."""
+    if asked not in RETRIEVERS:
+        raise ValueError(f"no such retriever: {asked}")
+    return asked if all("embedding" in t.columns for t in tables) else "tfidf"
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, retriever: str = "hybrid", k: int = 5, make: Callable[[], Encoder] | None = None, save: Save = planned) -> DataFrame:
+    """Rows ``(query_id, chunk_id, score, rank, retriever)`` of the named retriever, or of ``tfidf`` where there are no vectors.
+
+    ``make`` gives the encoder of a table without vectors; blank queries are an error of the caller and find nothing.
+    """
+    asked = queries.where(F.trim("query") != "")
+    if make is not None and retriever in ("semantic", "hybrid"):
+        chunks = chunks if "embedding" in chunks.columns else save(embed(chunks, make), "chunk-vectors")
+        asked = asked if "embedding" in asked.columns else save(embed(asked, make, "query"), "query-vectors")
+    used = retriever_for(retriever, chunks, asked)
+    if used == "semantic":
+        found = semantic_search(chunks, asked, k)
+    elif used == "hybrid":
+        found = hybrid_search(chunks, asked, k, save=save)
+    else:
+        found = top(keyword_scores(chunks, asked, save).where("score > 0"), k)
+    return found.select("query_id", "chunk_id", "score", "rank", F.lit(used).alias("retriever"))

@@ -414,3 +414,17 @@ SQL["retrieval_summary"] = f"WITH {SCORES}, av AS (SELECT count(*)::DOUBLE AS n,
 _next = "trim(regexp_replace(replace(translate(t0, '­\"“”', ''), chr(10), ' '), '[ \t]+', ' ', 'g'))"
 SQL["next_sections"] = f"""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN '. 12: Further matters of note' ELSE ' 12 more' END AS t0 FROM documents), c AS (SELECT doc_id, {_next} AS t FROM d),
   m AS (SELECT *, regexp_extract(t, '^(.*?[.!?])\\s+\\d{{1,2}}\\s*:\\s+[A-Za-z].*$', 1) AS cut FROM c) SELECT doc_id, {digest("CASE WHEN cut <> '' THEN trim(cut) ELSE t END")} AS text_md5 FROM m"""
+
+# -- SQL functions, encoders, CSV sets ------------------------------------------------------------
+
+SQL["sql_stance"] = SQL["stance"]
+SQL["sql_passages"] = f"WITH {windows(200, 30, 0)} SELECT source, page_number, ix, n_words, {digest('text')} AS text_md5 FROM chunks"
+_vowels = ", ".join(f"length(text) - length(replace(text, '{v}', '')) AS n{v}" for v in "aeiou")
+_size = "sqrt(na * na + ne * ne + ni * ni + no * no + nu * nu)"
+SQL["encoded_documents"] = f"SELECT doc_id, {', '.join(f'round(CASE WHEN {_size} = 0 THEN 0 ELSE n{v} / {_size} END, 6)::DOUBLE AS {v}' for v in 'aeiou')} FROM (SELECT doc_id, {_vowels} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"
+SQL["retriever_fallback"] = f"WITH {PASSAGES}, {keyword('passages', 5)} SELECT query_id, rank, chunk_id, round(score, 6) AS score, 'tfidf' AS retriever FROM found"
+SQL["recommendations_csv"] = f"""WITH {EXPORT} SELECT doc_id::VARCHAR AS id, source AS document_pair, NULL::VARCHAR AS recommendation_page, NULL::VARCHAR AS recommendation_text, NULL::VARCHAR AS matched_response_page,
+  nullif(t, '') AS matched_response_text, classification, printf('%.3f', confidence) AS confidence FROM ex"""
+SQL["predictions_csv"] = f"""WITH {EXPORT} SELECT source AS document_pair, doc_id::VARCHAR AS id, NULL::VARCHAR AS recommendation_page, NULL::VARCHAR AS matched_response_page, classification, confidence, method AS alignment_method, sim AS alignment_confidence,
+  conf AS classification_confidence, classifier AS classifier_method, nullif(array_to_string(factors, '; '), '') AS confidence_factors, NULL::VARCHAR AS recommendation_text, nullif(t, '') AS matched_response_text,
+  CASE WHEN doc_id % 4 = 0 THEN 'partial' END AS true_label, CASE WHEN doc_id % 4 = 0 THEN (classification = 'partial')::VARCHAR END AS correct FROM ex"""

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import bank
+from lectern.functions import sql
 from lectern.functions import text as T
 from lectern.operators import align, chunks, classify, evaluate, extract, pages, report, search, units, validate, views
 from lectern.plans import analysis
@@ -828,3 +830,54 @@ def analysed(spark, sf_dir) -> DataFrame:
 @query
 def whole_analysis(spark, sf_dir):
     return validate.flatten(analysed(spark, sf_dir)).select("document_pair", "id", "recommendation_text", "matched_response_text", "classification", "confidence", "debug_alignment_method")
+
+
+# -- SQL functions, encoders, CSV sets ------------------------------------------------------------
+
+
+@query
+def sql_stance(spark, sf_dir):
+    sql.register(spark)
+    return replies(spark, sf_dir).selectExpr("doc_id", f"{sql.CLASSIFY}(matched_text) AS s").select("doc_id", "s.label", "s.confidence")
+
+
+@query
+def sql_passages(spark, sf_dir):
+    sql.register(spark)
+    rows = table(spark, sf_dir, "documents").selectExpr("source", "doc_id AS page_number", f"{sql.CHUNK}(text, 200, 30) AS cut").selectExpr("source", "page_number", "inline(cut)")
+    return rows.select("source", "page_number", "ix", "n_words", digest("text").alias("text_md5"))
+
+
+def vowel_encoder():
+    """Stands in for a model: counts of the vowels."""
+    return lambda texts: np.array([[t.count(v) for v in "aeiou"] for t in texts], "f8")
+
+
+@query
+def encoded_documents(spark, sf_dir):
+    coded = search.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), vowel_encoder)
+    return coded.select("doc_id", *[six(F.col("embedding")[k]).alias(v) for k, v in enumerate("aeiou")])
+
+
+@query
+def retriever_fallback(spark, sf_dir):
+    """Neither table has vectors and no encoder is given, so the hybrid retriever that is asked for becomes the keyword one."""
+    save = store(spark)
+    found = search.retrieve(save(passages(spark, sf_dir), "passages"), questions(spark, sf_dir), "hybrid", 5, save=save)
+    return found.select("query_id", "rank", "chunk_id", six("score").alias("score"), "retriever")
+
+
+@query
+def recommendations_csv(spark, sf_dir):
+    path = f"{shared(spark)}/csv"
+    io.write_csv(io.recommendations_csv(export_rows(spark, sf_dir)), path)
+    return io.read_csv(spark, path)
+
+
+@query
+def predictions_csv(spark, sf_dir):
+    path = f"{shared(spark)}/csv"
+    flat = validate.flatten(export_rows(spark, sf_dir))
+    truth = flat.where("id % 4 = 0").select("document_pair", "id", F.lit("partial").alias("true_label"))
+    io.write_csv(io.predictions_csv(flat, truth), path)
+    return io.read_csv(spark, path).withColumns({c: F.col(c).cast("double") for c in ("confidence", "alignment_confidence", "classification_confidence")})

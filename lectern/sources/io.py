@@ -55,10 +55,52 @@ def write_json_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header; lists joined by ``; ``, quotes doubled."""
+#: Columns of the three exports as CSV, and those that a truth adds to predictions.
+RECOMMENDATION_CSV = "id document_pair recommendation_page recommendation_text matched_response_page matched_response_text classification confidence".split()
+PREDICTION_CSV = "document_pair id recommendation_page matched_response_page classification confidence alignment_method alignment_confidence classification_confidence classifier_method confidence_factors recommendation_text matched_response_text".split()
+TRUTH_CSV = "true_label correct".split()
+RESULT_CSV = "rank query retriever source pair_id page score confidence heading text display_preview".split()
+
+
+def csv_columns(rows: DataFrame, columns: list[str], digits: dict[str, int] | None = None) -> DataFrame:
+    """The named columns in order; those that the table lacks are null, numbers in ``digits`` are written with so many decimals."""
+    fixed = digits or {}
+
+    def cell(c: str):
+        if c not in rows.columns:
+            return F.lit(None).cast("string").alias(c)
+        return F.format_string(f"%.{fixed[c]}f", F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) if c in fixed else F.col(c)
+
+    return rows.select(*[cell(c) for c in columns])
+
+
+def recommendations_csv(export: DataFrame) -> DataFrame:
+    """Export rows as the table of recommendations: without a stance they are not addressed."""
+    rows = export.withColumn("classification", F.coalesce("classification", F.lit("not_addressed")))
+    return csv_columns(rows, RECOMMENDATION_CSV, {"confidence": 3})
+
+
+def predictions_csv(flat: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """Flattened export rows as the table of predictions; ``truth (document_pair, id, true_label)`` adds its label and whether it agrees, blank without one."""
+    rows = flat.withColumnsRenamed({f"debug_{c}": c for c in ("alignment_method", "alignment_confidence", "classification_confidence", "classifier_method", "confidence_factors")})
+    if truth is None:
+        return csv_columns(rows, PREDICTION_CSV)
+    rows = rows.join(truth.select("document_pair", "id", "true_label"), ["document_pair", "id"], "left")
+    agrees = F.when(F.col("true_label").isNotNull(), F.col("classification").eqNullSafe(F.col("true_label")))
+    return csv_columns(rows.withColumn("correct", agrees), [*PREDICTION_CSV, *TRUTH_CSV])
+
+
+def write_csv(rows: DataFrame, path: str, line_end: str = "\r\n") -> None:
+    """CSV with a header; lists joined by ``; ``, quotes doubled, lines ended by CR and LF.  Null and empty cells are both blank."""
     flat = [F.array_join(f.name, "; ").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in rows.schema.fields]
-    rows.select(*flat).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\n").csv(path)
+    kept = rows.select(*flat).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    kept.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("lineSep", line_end).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``write_csv`` as text, with line breaks inside of quotes."""
+    kept = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    return kept.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_corpus(chunks: DataFrame, path: str, version: int = SCHEMA_VERSION) -> None:
