@@ -428,3 +428,6 @@ SQL["recommendations_csv"] = f"""WITH {EXPORT} SELECT doc_id::VARCHAR AS id, sou
 SQL["predictions_csv"] = f"""WITH {EXPORT} SELECT source AS document_pair, doc_id::VARCHAR AS id, NULL::VARCHAR AS recommendation_page, NULL::VARCHAR AS matched_response_page, classification, confidence, method AS alignment_method, sim AS alignment_confidence,
   conf AS classification_confidence, classifier AS classifier_method, nullif(array_to_string(factors, '; '), '') AS confidence_factors, NULL::VARCHAR AS recommendation_text, nullif(t, '') AS matched_response_text,
   CASE WHEN doc_id % 4 = 0 THEN 'partial' END AS true_label, CASE WHEN doc_id % 4 = 0 THEN (classification = 'partial')::VARCHAR END AS correct FROM ex"""
+SQL["results_csv"] = rf"""WITH {PASSAGES}, {keyword('passages', 3)}, l AS (SELECT f.*, query, page_number, trim(string_split_regex(trim(left(f.text, 120)), '[.\n]')[1]) AS lead FROM found f JOIN questions USING (query_id) JOIN (SELECT chunk_id, page_number FROM passages) USING (chunk_id))
+SELECT rank::VARCHAR AS rank, query, 'tfidf' AS retriever, source, NULL::VARCHAR AS pair_id, page_number::VARCHAR AS page, round(score, 6) AS score, CASE WHEN score >= 0.5 THEN 'high' WHEN score >= 0.2 THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN regexp_matches(lead, '^([Rr]ecommendations?\s+\d+[:.]?|[Rr]ec\s+\d+|\d+[.\)]\s+[A-Z][A-Za-z\s]{{3,}}|[A-Z][A-Z\s\-,]{{5,}}[A-Z])') THEN lead END AS heading, text, NULL::VARCHAR AS display_preview FROM l"""

@@ -881,3 +881,11 @@ def predictions_csv(spark, sf_dir):
     truth = flat.where("id % 4 = 0").select("document_pair", "id", F.lit("partial").alias("true_label"))
     io.write_csv(io.predictions_csv(flat, truth), path)
     return io.read_csv(spark, path).withColumns({c: F.col(c).cast("double") for c in ("confidence", "alignment_confidence", "classification_confidence")})
+
+
+@query
+def results_csv(spark, sf_dir):
+    path = f"{shared(spark)}/csv"
+    found = found_passages(spark, sf_dir, 3).join(questions(spark, sf_dir).select("query_id", "query"), "query_id")
+    io.write_csv(io.results_csv(search.enrich(found), "tfidf"), path)
+    return io.read_csv(spark, path).withColumn("score", F.col("score").cast("double"))

@@ -90,6 +90,12 @@ def predictions_csv(flat: DataFrame, truth: DataFrame | None = None) -> DataFram
     return csv_columns(rows.withColumn("correct", agrees), [*PREDICTION_CSV, *TRUTH_CSV])
 
 
+def results_csv(results: DataFrame, retriever: str) -> DataFrame:
+    """Enriched search results as the table of results; the columns ``page_number`` and ``preview`` are shown as page and preview."""
+    named = results.withColumnsRenamed({"page_number": "page", "preview": "display_preview"})
+    return csv_columns(named.withColumn("retriever", F.lit(retriever)), RESULT_CSV, {"score": 6})
+
+
 def write_csv(rows: DataFrame, path: str, line_end: str = "\r\n") -> None:
     """CSV with a header; lists joined by ``; ``, quotes doubled, lines ended by CR and LF.  Null and empty cells are both blank."""
     flat = [F.array_join(f.name, "; ").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in rows.schema.fields]
