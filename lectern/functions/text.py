@@ -103,7 +103,8 @@ def dedup_key(text) -> Column:
 
 
 def sentences(text) -> Column:
-    return F.filter(F.transform(F.split(F.trim(_c(text)), r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > 0)
+    # not F.trim itself: transform would give it the index as the characters to trim
+    return F.filter(F.transform(F.split(F.trim(_c(text)), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def first_sentence(text) -> Column:
@@ -186,7 +187,7 @@ CONTENTS_LINE = r"^.{3,80}(?:\.{3,}|\s{2,})\s*\d{1,3}\s*$"
 
 
 def lines(text) -> Column:
-    return F.filter(F.transform(F.split(_c(text), r"\r\n|\n|\r"), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(_c(text), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def share(of: Column, test) -> Column:

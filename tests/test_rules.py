@@ -102,3 +102,11 @@ def test_streaming_counts(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(r.n for r in spark.table("counts").collect()) == [1, 5]
+
+
+def test_pieces_keep_their_digits(spark):
+    """A piece that starts or ends with the digits of its own place stays whole."""
+    rows = spark.createDataFrame([("One. 1 two 1. 22 is it 2", "0 a 0\n 1 b 1\n12 c 2")], "s string, l string")
+    got = rows.select(T.sentences("s").alias("s"), T.first_sentence("l").alias("first"), T.last_sentence("s").alias("last"), T.lines("l").alias("l")).first()
+    assert got.s == ["One.", "1 two 1.", "22 is it 2"] and got.last == "22 is it 2"
+    assert got.first == "0 a 0\n 1 b 1\n12 c 2" and got.l == ["0 a 0", "1 b 1", "12 c 2"]
