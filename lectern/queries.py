@@ -583,7 +583,7 @@ def recommendations_found(spark, sf_dir):
 
 @query
 def committee_items(spark, sf_dir):
-    return extract.numbered_sections(report_pages(spark, sf_dir))
+    return extract.numbered_sections(report_pages(spark, sf_dir), save=store(spark))
 
 
 @query

@@ -119,3 +119,13 @@ def test_densest_window(spark):
     got = pages.densest_window(rows, "k", "t", ["the"], 3)
     assert {r.k: r.start for r in got.collect()} == {2: 0, 3: 0, 4: 1, 5: 3, 6: 0}
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_section_over_page_ends(spark):
+    """Headings and item numbers cut by page ends count, also with empty pages between; an item of any length costs no more than the limit."""
+    pages = ["Old conclusions and recommendations 1. The Government should not find this here at all now. Conclusions", "and", "", "recommendations 1. We recommend that the office", "publishes a plan this year. 2.", "",
+             "The Department should fund it in full next year. 3. The Government should " + "go on " * 400, "and on " * 300 + "4.", "Ministers said that the government should act at once (5.1 refers). List", "of witnesses 9. The Government should not find this here either."]
+    rows = spark.createDataFrame([("s", i, t) for i, t in enumerate([*pages, None])] + [("few", 1, "Conclusions and recommendations 1. The Government should act on this at once. 2. More")], "source string, page_number int, text string")
+    got = sorted((r.source, r.rec_id, r.paragraph, r.text) for r in extract.numbered_sections(rows).collect())
+    assert got == [("s", 0, 1, "We recommend that the office publishes a plan this year."), ("s", 1, 2, "The Department should fund it in full next year."), ("s", 2, 4, "Ministers said that the government should act at once (5.1 refers).")]
+    assert "ObjectHashAggregate" not in extract.unbroken(rows, r"\bx")._jdf.queryExecution().executedPlan().toString()  # no report as one string
