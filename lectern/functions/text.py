@@ -28,13 +28,17 @@ def _c(text) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
-def decompose(text) -> Column:
-    """Compatibility decomposition without marks; texts without a character of several are not searched for each of them."""
-    t = F.regexp_replace(F.translate(_c(text), "".join(ONE), "".join(ONE.values())), r"\p{M}", "")
+def decompose(text, old: str = "", new: str = "") -> Column:
+    """Compatibility decomposition without marks, and ``old`` characters to ``new`` (those without one go).
+
+    ASCII stays as it is, and texts without a character of several are not searched for each of them.
+    """
+    raw = _c(text)
+    t = F.regexp_replace(F.translate(raw, "".join(ONE) + old, "".join(ONE.values()) + new), r"\p{M}", "")
     many = t
     for c, plain in SEVERAL.items():
         many = F.replace(many, F.lit(c), F.lit(plain))
-    return F.when(t.rlike("[" + "".join(SEVERAL) + "]"), many).otherwise(t)
+    return F.when(~raw.rlike(r"[^\x00-\x7F]"), raw).when(raw.rlike("[" + "".join(SEVERAL) + "]"), many).otherwise(t)
 
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -49,8 +53,7 @@ def squeeze(text) -> Column:
 
 def clean(text) -> Column:
     """Without soft hyphens and accents, with straight quotes and plain dashes, blanks squeezed."""
-    t = F.translate(_c(text), "‘’“”–—­", "''\"\"--")
-    return squeeze(decompose(t))
+    return squeeze(decompose(text, "‘’“”–—­", "''\"\"--"))
 
 
 def normalise(text) -> Column:
@@ -216,3 +219,11 @@ def is_structural(text) -> Column:
     ends = F.regexp_count(t, F.lit(r"[.!?](?:\s|$)"))
     signals = F.substring(t, 1, 200).rlike(STRUCTURAL_HEADS).cast("int") + (refs > 0.25).cast("int") + (ends / F.greatest(n, F.lit(1)) < 0.025).cast("int")
     return is_title_only(text) | ((n >= 10) & ((signals >= 2) | (refs > 0.5)))
+
+
+def is_plain(text) -> Column:
+    """A cheap test that only prose passes: neither contents nor structural, since it has 35 words or more, no line that ends in a digit and no structural head."""
+    t = _c(text)
+    blanks = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+    listed = t.rlike(r"\d\s*(?:[\n\r\u0085\u2028\u2029]|\z)")
+    return (blanks >= 40) & ~F.contains(t, F.lit("  ")) & ~listed & ~F.substring(t, 1, 200).rlike(STRUCTURAL_HEADS) & ~F.substring(t, 1, 200).rlike(r"(?i)^\s*contents\b")
